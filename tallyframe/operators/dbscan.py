@@ -147,12 +147,12 @@ def dbscan(
     side = eps / math.sqrt(2) * (1 - 1e-9)
     rows = df.select(
         "*",
-        (F.col(by) if by else F.lit(0)).alias("grp"),
+        (F.col(by) if by else F.lit(0)).alias("__grp"),
         F.col(x).cast("double").alias("__x"),
         F.col(y).cast("double").alias("__y"),
     )
     # Copies of a point shrink to one row with a weight.
-    points = rows.groupBy("grp", F.col("__x").alias("x"), F.col("__y").alias("y")).agg(
+    points = rows.groupBy(F.col("__grp").alias("grp"), F.col("__x").alias("x"), F.col("__y").alias("y")).agg(
         F.count(F.lit(1)).alias("w"), F.min(key).alias("key")
     )
     points = points.withColumns(
@@ -206,6 +206,8 @@ def dbscan(
         .agg(F.min("cluster").alias("cluster"))
         .withColumn("is_core", F.lit(False))
     )
-    labels = in_core.unionByName(border).withColumnsRenamed({"x": "__x", "y": "__y"})
-    out = rows.join(labels, ["grp", "__x", "__y"], "left")
+    labels = in_core.unionByName(border).withColumnsRenamed(
+        {"grp": "__grp", "x": "__x", "y": "__y"}
+    )
+    out = rows.join(labels, ["__grp", "__x", "__y"], "left")
     return out.select(*df.columns, "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
