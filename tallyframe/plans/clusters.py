@@ -1,0 +1,247 @@
+"""Standardised features, clusterings, boxes and image regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyframe.operators.aggregates import members_list
+from tallyframe.operators.boxes import cluster_boxes, crop_rects, point_regions
+from tallyframe.operators.dbscan import dbscan
+from tallyframe.operators.features import elbow, kmeans, principal_pair, standardise
+from tallyframe.operators.linkage import linkage
+from tallyframe.plans.registry import query, rnd, rounded
+from tallyframe.plans.series import clean, entity_features
+from tallyframe.sources.images import crop_pixels, to_grey
+from tallyframe.sources.tables import staged, table
+
+DIMENSIONS = 64
+_FEATURES = ["lines", "quantity", "discount"]
+
+
+@query(
+    "standardise_features",
+    f"""
+    with f as (
+      select l_suppkey, count(*)::double as lines, sum(l_quantity) as quantity,
+             round(avg(l_discount), 6) as discount
+      from lineitem group by 1)
+    select l_suppkey,
+           {', '.join(
+               f"{rnd(f'({c} - avg({c}) over ()) / stddev_pop({c}) over ()', 5)} as {c}"
+               for c in _FEATURES)}
+    from f""",
+)
+def standardise_features(spark, sf):
+    features = (
+        table(spark, sf, "lineitem")
+        .groupBy("l_suppkey")
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("lines"),
+            F.sum("l_quantity").alias("quantity"),
+            F.round(F.avg("l_discount"), 6).alias("discount"),
+        )
+    )
+    return rounded(standardise(features, _FEATURES), 5, *_FEATURES)
+
+
+@query(
+    "standardise_by_group",
+    f"""
+    select vec_id, label,
+           {', '.join(
+               f"{rnd(f'(x{i} - avg(x{i}) over w) / stddev_pop(x{i}) over w', 5)} as x{i}"
+               for i in (0, 1))}
+    from (select vec_id, label, embedding[1]::double as x0, embedding[2]::double as x1
+          from embeddings)
+    window w as (partition by label)""",
+)
+def standardise_by_group(spark, sf):
+    return rounded(standardise(_plane(spark, sf), ["x0", "x1"], ["label"]), 5, "x0", "x1")
+
+
+def _plane(spark, sf):
+    """The first two coordinates of each vector."""
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "label", e[0].cast("double").alias("x0"), e[1].cast("double").alias("x1")
+    )
+
+
+def _space(spark, sf):
+    """All coordinates as columns."""
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "label", *[e[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)]
+    )
+
+
+_E = [f"e{i}" for i in range(DIMENSIONS)]
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark, sf):
+    return kmeans(_space(spark, sf), "vec_id", _E, 8).select("vec_id", "cluster")
+
+
+@query("elbow_table")
+def elbow_table(spark, sf):
+    return elbow(_space(spark, sf), _E, 24)
+
+
+@query("pca_2d")
+def pca_2d(spark, sf):
+    pairs = principal_pair(_space(spark, sf), _E).select("vec_id", "pca1", "pca2")
+    return rounded(pairs, 5, "pca1", "pca2")
+
+
+@query("ward_labels")
+def ward_labels(spark, sf):
+    labelled, _ = linkage(_space(spark, sf), "vec_id", _E, "ward", 8)
+    return labelled.select("vec_id", "cluster")
+
+
+@query("ward_merges")
+def ward_merges(spark, sf):
+    """The merge table of every label's vectors."""
+    _, merges = linkage(_space(spark, sf), "vec_id", _E, "ward", 2, "label")
+    return rounded(merges.withColumnRenamed("grp", "label"), 6, "height")
+
+
+@query("average_linkage_labels")
+def average_linkage_labels(spark, sf):
+    labelled, _ = linkage(_space(spark, sf), "vec_id", _E, "average", 4, "label")
+    return labelled.select("vec_id", "label", "cluster")
+
+
+@query("dbscan_labels")
+def dbscan_labels(spark, sf):
+    scaled = standardise(_plane(spark, sf), ["x0", "x1"])
+    out = dbscan(scaled, "vec_id", "x0", "x1", 0.25, 10)
+    return out.select(
+        "vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "is_core"
+    )
+
+
+@query("point_regions")
+def regions(spark, sf):
+    """Crop rectangles around the point clusters of each group, coordinates in thousandths."""
+    points = _plane(spark, sf).withColumns(
+        {"x0": F.col("x0") * 1000, "x1": F.col("x1") * 1000}
+    )
+    found = point_regions(points, "label", "vec_id", "x0", "x1", eps=0.5, min_samples=5)
+    return found.select("label", "cluster", "points", "left", "top", "width", "height")
+
+
+@query("entity_clusters")
+def entity_clusters(spark, sf):
+    """Users clustered by their standardised growth features, both ways, as lists of members."""
+    names = ["growth", "change", "cases", "loss_growth", "loss_change", "losses"]
+    features = staged(entity_features(clean(spark, sf)), "features")
+    scaled = staged(standardise(features, names), "scaled")
+    parts = []
+    by_means = kmeans(scaled, "user_id", names, 8)
+    by_ward, _ = linkage(scaled, "user_id", names, "ward", 8)
+    for method, labelled in (("kmeans", by_means), ("ward", by_ward)):
+        lists = members_list(labelled, "cluster", "user_id")
+        parts.append(
+            lists.select(
+                F.lit(method).alias("method"),
+                F.col("cluster").cast("bigint").alias("cluster"),
+                "part",
+                F.array_join(F.col("members").cast("array<string>"), ",").alias("members"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+_BOX = """
+  select label, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1
+  from (select label, embedding[1]::double * 1000 as x, embedding[2]::double * 1000 as y
+        from embeddings) group by 1"""
+
+
+def _boxes(spark, sf):
+    points = _plane(spark, sf).select(
+        "label", (F.col("x0") * 1000).alias("x"), (F.col("x1") * 1000).alias("y")
+    )
+    return cluster_boxes(points, ["label"], "x", "y")
+
+
+@query(
+    "cluster_boxes",
+    "select label, "
+    + ", ".join(f"{rnd(c, 6)} as {c}" for c in ("x0", "x1", "y0", "y1"))
+    + f", {rnd('x1', 6)} as third_corner_x, {rnd('y1', 6)} as third_corner_y from ({_BOX})",
+)
+def boxes_by_label(spark, sf):
+    third = F.col("corners")[2]
+    out = _boxes(spark, sf).withColumns(
+        {"third_corner_x": third[0], "third_corner_y": third[1]}
+    )
+    return rounded(out.drop("corners"), 6, "x0", "x1", "y0", "y1", "third_corner_x",
+                   "third_corner_y")
+
+
+@query(
+    "crop_rects",
+    f"""
+    select label, trunc(x0 - (x1 - x0) / 20)::int as "left",
+           trunc(y0 - (y1 - y0) / 20)::int as top,
+           trunc((x1 - x0) * 1.1::double)::int as width,
+           trunc((y1 - y0) * 1.1::double)::int as height
+    from ({_BOX})""",
+)
+def rects_by_label(spark, sf):
+    return crop_rects(_boxes(spark, sf)).select("label", "left", "top", "width", "height")
+
+
+@query(
+    "image_crop_grey",
+    """
+    with bytes as (
+      select vec_id, label,
+             [least(255, floor(abs(v::double) * 1000))::int for v in embedding] as b
+      from embeddings),
+    cut as (
+      select vec_id, label, [b[i + 1] for i in range(64)
+                             if i % 8 >= label % 4 and i % 8 < label % 4 + 4
+                                and i // 8 >= label % 3 and i // 8 < label % 3 + 5] as b
+      from bytes)
+    select vec_id::varchar as image_id, 4 as width, 5 as height,
+           array_to_string([printf('%02X', floor(
+             0.114::double * v + 0.587::double * (255 - v) + 0.299::double * (v * 7 % 256) + 0.5
+           )::int) for v in b], '') as grey
+    from cut""",
+)
+def image_crop_grey(spark, sf):
+    """Vectors shown as images of 8 by 8 pixels; a part of each is cut out and turned grey."""
+    e = table(spark, sf, "embeddings")
+
+    def two_digits(value):
+        return F.lpad(F.hex(value.cast("bigint")), 2, "0")
+
+    level = F.transform(
+        "embedding",
+        lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1000).cast("int")),
+    )
+    pixels = F.transform(
+        F.col("level"),
+        lambda b: F.concat(two_digits(b), two_digits(255 - b), two_digits(b * 7 % 256)),
+    )
+    images = e.withColumn("level", level).select(
+        F.col("vec_id").cast("string").alias("image_id"),
+        F.lit(8).alias("width"),
+        F.lit(8).alias("height"),
+        F.lit(3).alias("n_channels"),
+        F.unhex(F.array_join(pixels, "")).alias("data"),
+    )
+    rects = e.select(
+        F.col("vec_id").cast("string").alias("image_id"),
+        F.col("label").alias("cluster"),
+        (F.col("label") % 4).alias("left"),
+        (F.col("label") % 3).alias("top"),
+        F.lit(4).alias("width"),
+        F.lit(5).alias("height"),
+    )
+    grey = to_grey(crop_pixels(images, rects))
+    return grey.select("image_id", "width", "height", F.hex("data").alias("grey"))
