@@ -125,22 +125,27 @@ def table_stats(
     """Whole-table statistics, one row per column; texts have no mean, deviation or median."""
     every = [*numbers, *others]
     row = df.agg(
-        *[stat(s, c) for c in every for s in ("nunique", "count")],
+        *[stat("count", c) for c in every],
+        *[stat("nunique", c) for c in others],
         *[stat(s, c) for c in numbers for s in ("std", "mean")],
         *[F.min(c).cast("string").alias(f"{c}_min") for c in every],
         *[F.max(c).cast("string").alias(f"{c}_max") for c in every],
     )
-    none = F.lit(None).cast("double")
+    none = F.lit(None)
     long = row.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        F.col(f"{c}_nunique").alias("nunique"),
+                        (none.cast("bigint") if c in numbers else F.col(f"{c}_nunique")).alias(
+                            "nunique"
+                        ),
                         F.col(f"{c}_count").alias("count"),
-                        (F.col(f"{c}_std") if c in numbers else none).alias("std"),
-                        (F.col(f"{c}_mean") if c in numbers else none).alias("mean"),
+                        (F.col(f"{c}_std") if c in numbers else none.cast("double")).alias("std"),
+                        (F.col(f"{c}_mean") if c in numbers else none.cast("double")).alias(
+                            "mean"
+                        ),
                         F.col(f"{c}_min").alias("min"),
                         F.col(f"{c}_max").alias("max"),
                     )
@@ -149,8 +154,10 @@ def table_stats(
             )
         )
     )
+    # The distinct values of a number are counted on the way to its median.
     ordered = order_stats(df, [[]], numbers, {"median": 0.5}, True, rows_per_bucket)
-    return long.join(ordered.drop("set_bits"), "column", "left")
+    out = long.join(ordered.drop("set_bits"), "column", "left")
+    return out.withColumn("nunique", F.coalesce("nunique", "distinct", F.lit(0))).drop("distinct")
 
 
 def describe_exact(
@@ -179,7 +186,7 @@ def describe_exact(
     )
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     ordered = order_stats(df, [[]], columns, quartiles, False, rows_per_bucket)
-    return long.join(ordered.drop("set_bits"), "column", "left")
+    return long.join(ordered.drop("set_bits", "distinct"), "column", "left")
 
 
 def share_of(df: DataFrame, key: str, unit: str = "distinct") -> DataFrame:

@@ -27,18 +27,18 @@ def value_counts(
 ) -> DataFrame:
     """Rows (set_bits, keys, column, bucket, value, n), for all key sets from one scan.
 
-    ``set_bits`` tells the key sets apart; rows with a null in a key of the set are left out.
+    ``column`` is the number of the column in the list. ``set_bits`` tells the key sets apart; rows with a null in a key of the set are left out.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(f"__{c}") for c in columns])
     cut = with_buckets(doubles, {f"__{c}": f"__bucket_{c}" for c in columns}, rows_per_bucket)
     entries = [
         F.struct(
-            F.lit(c).alias("column"),
+            F.lit(i).alias("column"),
             F.col(f"__bucket_{c}").alias("bucket"),
             F.col(f"__{c}").alias("value"),
         )
-        for c in columns
+        for i, c in enumerate(columns)
     ]
     rows = cut.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
     per_value = ["column", "bucket", "value"]
@@ -73,7 +73,7 @@ def order_stats(
     """One row per key set, group and column, with interpolated quantiles.
 
     ``shares`` names the quantiles, such as ``{"median": 0.5}``; ``deviation`` adds ``mad``, the
-    mean absolute deviation from the group's mean.
+    mean absolute deviation from the group's mean. ``distinct`` is the number of values.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     group = ["set_bits", *keys, "column"]
@@ -85,6 +85,7 @@ def order_stats(
     buckets = (
         counts.groupBy(*group, "bucket")
         .agg(
+            F.count(F.lit(1)).alias("values"),
             F.sum("n").alias("rows"),
             F.sum(F.col("n") * F.col("value")).alias("sum"),
             F.min("value").alias("low"),
@@ -94,6 +95,7 @@ def order_stats(
             {
                 "start": F.coalesce(F.sum("rows").over(before), F.lit(0)),
                 "total": F.sum("rows").over(all_of),
+                "distinct": F.sum("values").over(all_of),
                 "mean": F.sum("sum").over(all_of) / F.sum("rows").over(all_of),
             }
         )
@@ -114,7 +116,7 @@ def order_stats(
         )
         wanted.append(F.col("split"))
     looked_at = buckets.filter(reduce(lambda a, b: a | b, wanted)).drop(
-        "rows", "sum", "low", "high"
+        "values", "rows", "sum", "low", "high"
     )
 
     inside = W.partitionBy(*group, "bucket").orderBy("value")
@@ -133,7 +135,7 @@ def order_stats(
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= first) & (rank < F.col("stop")), F.col("value")))
 
-    picks = [F.max("total").alias("total"), F.max("mean").alias("mean")]
+    picks = [F.max(c).alias(c) for c in ("total", "mean", "distinct")]
     for name, rank in ranks.items():
         picks += [at(F.floor(rank)).alias(f"lo_{name}"), at(F.ceil(rank)).alias(f"hi_{name}")]
     if deviation:
@@ -145,7 +147,7 @@ def order_stats(
             F.sum(F.when(small, F.col("n") * F.col("value")).otherwise(0.0)).alias("sum_split"),
         ]
     picked = detail.groupBy(*group).agg(*picks)
-    out = [*group]
+    out = [*group, "distinct"]
     for name, rank in ranks.items():
         low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
         out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
@@ -154,4 +156,5 @@ def order_stats(
         sum_small = F.col("sum_below") + F.col("sum_split")
         mad = 2 * (F.col("mean") * n_small - sum_small) / F.col("total")
         out.append(F.greatest(mad, F.lit(0.0)).alias("mad"))
-    return picked.select(*out)
+    names = F.array(*[F.lit(c) for c in columns])
+    return picked.select(*out).withColumn("column", names[F.col("column")])

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MOST_BUCKETS = 1024
+MOST_BUCKETS = 8192
 
 
 def with_buckets(
@@ -30,7 +30,8 @@ def with_buckets(
         zero = {b: F.when(F.col(c).isNotNull(), F.lit(0.0)) for c, b in columns.items()}
         return df.withColumns(zero)
     shares = [i / parts for i in range(1, parts)]
-    row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(b) for c, b in columns.items()])
+    fine = max(10_000, 4 * parts)
+    row = df.agg(*[F.percentile_approx(c, shares, fine).alias(b) for c, b in columns.items()])
     cuts = row.first().asDict()
     splits = [
         [float("-inf"), *sorted({float(x) for x in cuts[b] or [0.0]}), float("inf")]

@@ -113,7 +113,32 @@ def average_linkage_labels(spark, sf):
     return labelled.select("vec_id", "label", "cluster")
 
 
-@query("dbscan_labels")
+@query(
+    "dbscan_labels",
+    """
+    with recursive scaled as (
+      select vec_id, (x0 - avg(x0) over ()) / stddev_pop(x0) over () as x,
+             (x1 - avg(x1) over ()) / stddev_pop(x1) over () as y
+      from (select vec_id, embedding[1]::double as x0, embedding[2]::double as x1
+            from embeddings)),
+    near as (
+      select a.vec_id as a, b.vec_id as b from scaled a, scaled b
+      where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.25),
+    core as (select a from near group by 1 having count(*) >= 10),
+    core_near as (select near.a, near.b from near join core on near.b = core.a),
+    reach(root, id) as (
+      select a, a from core
+      union
+      select root, n.b from reach join core_near n on n.a = id join core c on c.a = n.a),
+    named as (select id, min(root) as cluster from reach group by 1),
+    border as (
+      select n.a as id, min(cluster) as cluster from core_near n join named on named.id = n.b
+      where n.a not in (select a from core) group by 1)
+    select vec_id, coalesce(named.cluster, border.cluster, -1) as cluster,
+           named.id is not null as is_core
+    from embeddings left join named on named.id = vec_id left join border on border.id = vec_id
+    """,
+)
 def dbscan_labels(spark, sf):
     scaled = standardise(_plane(spark, sf), ["x0", "x1"])
     out = dbscan(scaled, "vec_id", "x0", "x1", 0.25, 10)

@@ -11,7 +11,7 @@ from tallyframe.session import shared_path
 # fixed values: texts that a lenient CSV reader takes for a missing value
 MISSING_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>", "#N/A"]
 
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+_CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,23 +19,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, keep_empty: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    keep_empty: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """CSV with a header line and a declared schema.
 
     With ``keep_empty`` a text field keeps what the file holds: an empty field is the empty
     text and "NA" is a text. Otherwise empty fields and the missing-value texts become null.
-    Fields may hold line breaks, so a file is read by one task; split large data over files.
+    Fields may hold line breaks, for which a file must be read by one task; say so with
+    ``line_breaks=False`` when there are none, and large files are split.
     """
+    options = {**_CSV, "multiLine": line_breaks}
     texts = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
     if keep_empty:
-        raw = spark.read.schema(schema).csv(path, nullValue="\u0000", emptyValue="", **_CSV)
+        raw = spark.read.schema(schema).csv(path, nullValue="\u0000", emptyValue="", **options)
         return raw.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in texts})
     # Numbers are read as text first: a token such as "NA" would fail their parser.
     as_text = StructType()
     for field in schema.fields:
         as_text = as_text.add(field.name, StringType())
-    raw = spark.read.schema(as_text).csv(path, **_CSV)
+    raw = spark.read.schema(as_text).csv(path, **options)
     return raw.select(
         *[
             F.when(~F.col(f"`{f.name}`").isin(MISSING_TOKENS), F.col(f"`{f.name}`"))
@@ -46,9 +52,12 @@ def read_csv(
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header line, texts kept to the last blank; replaces what the path held."""
-    df.write.mode("overwrite").csv(
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """CSV with a header line, texts kept to the last blank; replaces what the path held.
+
+    Files are bounded, so that reading them back is spread over many tasks.
+    """
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).csv(
         path,
         header=True,
         quote='"',
