@@ -10,11 +10,29 @@ from tallyframe.operators.dbscan import dbscan
 from tallyframe.operators.features import elbow, kmeans, principal_pair, standardise
 from tallyframe.operators.linkage import linkage
 from tallyframe.plans.registry import query, rnd, rounded
-from tallyframe.plans.series import clean, entity_features
+from tallyframe.plans.series import FEATURES, clean, entity_features
 from tallyframe.sources.images import crop_pixels, to_grey
 from tallyframe.sources.tables import staged, table
 
 DIMENSIONS = 64
+
+# SQL of the clusterings: one row per step and group with the list of its clusters, of which the
+# nearest two are joined.
+_PAIR = """(select min({{'d': {distance}, 'a': a, 'b': b}})
+    from (select unnest(clusters) as a) x, (select unnest(clusters) as b) y where a.id < b.id)"""
+_OTHERS = "[x for x in clusters if x.id <> p.a.id and x.id <> p.b.id]"
+_WARD_PAIR = _PAIR.format(
+    distance="sqrt(2 * a.n * b.n / (a.n + b.n)) * list_distance(a.c, b.c)"
+)
+_WARD_JOIN = f"""list_append({_OTHERS},
+    {{'id': p.a.id, 'n': p.a.n + p.b.n,
+     'c': [(p.a.c[i] * p.a.n + p.b.c[i] * p.b.n) / (p.a.n + p.b.n)
+           for i in range(1, len(p.a.c) + 1)]}})"""
+_MEAN_PAIR = _PAIR.format(
+    distance="list_avg(flatten([[list_distance(u, v) for u in a.m] for v in b.m]))"
+)
+_MEAN_JOIN = f"""list_append({_OTHERS},
+    {{'id': p.a.id, 'ids': p.a.ids || p.b.ids, 'm': p.a.m || p.b.m}})"""
 _FEATURES = ["lines", "quantity", "discount"]
 
 
@@ -100,14 +118,39 @@ def ward_labels(spark, sf):
     return labelled.select("vec_id", "cluster")
 
 
-@query("ward_merges")
+@query(
+    "ward_merges",
+    f"""
+    with recursive steps(label, clusters, lo, hi, height, size) as (
+      select label,
+             list({{'id': vec_id, 'n': 1.0::double, 'c': embedding::double[]}} order by vec_id),
+             null::bigint, null::bigint, null::double, null::bigint
+      from embeddings group by label
+      union all
+      select label, {_WARD_JOIN}, p.a.id, p.b.id, p.d, (p.a.n + p.b.n)::bigint
+      from (select label, clusters, {_WARD_PAIR} as p from steps where len(clusters) > 1))
+    select label::varchar as label, lo, hi, {rnd('height', 6)} as height, size
+    from steps where lo is not null""",
+)
 def ward_merges(spark, sf):
     """The merge table of every label's vectors."""
     _, merges = linkage(_space(spark, sf), "vec_id", _E, "ward", 2, "label")
     return rounded(merges.withColumnRenamed("grp", "label"), 6, "height")
 
 
-@query("average_linkage_labels")
+@query(
+    "average_linkage_labels",
+    f"""
+    with recursive steps(label, clusters) as (
+      select label,
+             list({{'id': vec_id, 'ids': [vec_id], 'm': [embedding::double[]]}} order by vec_id)
+      from embeddings group by label
+      union all
+      select label, {_MEAN_JOIN}
+      from (select label, clusters, {_MEAN_PAIR} as p from steps where len(clusters) > 4))
+    select label, x.id as cluster, unnest(x.ids) as vec_id
+    from (select label, unnest(clusters) as x from steps where len(clusters) = 4)""",
+)
 def average_linkage_labels(spark, sf):
     labelled, _ = linkage(_space(spark, sf), "vec_id", _E, "average", 4, "label")
     return labelled.select("vec_id", "label", "cluster")
@@ -147,7 +190,45 @@ def dbscan_labels(spark, sf):
     )
 
 
-@query("point_regions")
+@query(
+    "point_regions",
+    f"""
+    with recursive points as (
+      select vec_id, label, embedding[1]::double * 1000 as x, embedding[2]::double * 1000 as y
+      from embeddings),
+    scaled as (
+      select vec_id, label, (x - avg(x) over w) / stddev_pop(x) over w as x,
+             (y - avg(y) over w) / stddev_pop(y) over w as y
+      from points window w as (partition by label)),
+    near as (
+      select a.label, a.vec_id as a, b.vec_id as b from scaled a join scaled b using (label)
+      where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.5),
+    core as (select label, a from near group by all having count(*) >= 5),
+    reach(label, root, id) as (
+      select label, a, a from core
+      union
+      select r.label, root, n.b from reach r join near n on n.a = r.id
+      join core c on c.a = n.b),
+    wanted as (
+      select label, count(distinct cluster) as k
+      from (select label, id, min(root) as cluster from reach group by all) group by 1),
+    steps(label, k, clusters) as (
+      select label, k, list({{'id': vec_id, 'ids': [vec_id], 'm': [[x, y]]}} order by vec_id)
+      from points join wanted using (label) group by all
+      union all
+      select label, k, {_MEAN_JOIN}
+      from (select label, k, clusters, {_MEAN_PAIR} as p from steps where len(clusters) > k)),
+    boxes as (
+      select label, c.id as cluster, len(c.ids) as points,
+             list_min([q[1] for q in c.m]) as x0, list_max([q[1] for q in c.m]) as x1,
+             list_min([q[2] for q in c.m]) as y0, list_max([q[2] for q in c.m]) as y1
+      from (select label, unnest(clusters) as c from steps where len(clusters) = k))
+    select label, cluster, points, trunc(x0 - (x1 - x0) / 20)::int as "left",
+           trunc(y0 - (y1 - y0) / 20)::int as top,
+           trunc((x1 - x0) * 1.1::double)::int as width,
+           trunc((y1 - y0) * 1.1::double)::int as height
+    from boxes""",
+)
 def regions(spark, sf):
     """Crop rectangles around the point clusters of each group, coordinates in thousandths."""
     points = _plane(spark, sf).withColumns(
@@ -157,15 +238,45 @@ def regions(spark, sf):
     return found.select("label", "cluster", "points", "left", "top", "width", "height")
 
 
+_NAMES = ["growth", "change", "cases", "loss_growth", "loss_change", "losses"]
+
+
+@query(
+    "entity_ward_clusters",
+    FEATURES.replace("with per_day", "with recursive per_day", 1)
+    + f"""
+    , scaled as (
+      select user_id, {', '.join(
+          f"case when stddev_pop({c}) over () > 0 then "
+          f"({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as {c}"
+          for c in _NAMES)} from features),
+    steps(clusters) as (
+      select list({{'id': user_id, 'ids': [user_id], 'n': 1.0::double,
+                    'c': [{', '.join(_NAMES)}]}} order by user_id) from scaled
+      union all
+      select list_append({_OTHERS},
+        {{'id': p.a.id, 'ids': p.a.ids || p.b.ids, 'n': p.a.n + p.b.n,
+          'c': [(p.a.c[i] * p.a.n + p.b.c[i] * p.b.n) / (p.a.n + p.b.n)
+                for i in range(1, len(p.a.c) + 1)]}})
+      from (select clusters, {_WARD_PAIR} as p from steps where len(clusters) > 8))
+    select x.id as cluster, unnest(x.ids) as user_id
+    from (select unnest(clusters) as x from steps where len(clusters) = 8)""",
+)
+def entity_ward_clusters(spark, sf):
+    """Users clustered by Ward's linkage of their standardised growth features."""
+    features = staged(entity_features(clean(spark, sf)), "features")
+    labelled, _ = linkage(standardise(features, _NAMES), "user_id", _NAMES, "ward", 8)
+    return labelled.select("cluster", "user_id")
+
+
 @query("entity_clusters")
 def entity_clusters(spark, sf):
     """Users clustered by their standardised growth features, both ways, as lists of members."""
-    names = ["growth", "change", "cases", "loss_growth", "loss_change", "losses"]
     features = staged(entity_features(clean(spark, sf)), "features")
-    scaled = staged(standardise(features, names), "scaled")
+    scaled = staged(standardise(features, _NAMES), "scaled")
     parts = []
-    by_means = kmeans(scaled, "user_id", names, 8)
-    by_ward, _ = linkage(scaled, "user_id", names, "ward", 8)
+    by_means = kmeans(scaled, "user_id", _NAMES, 8)
+    by_ward, _ = linkage(scaled, "user_id", _NAMES, "ward", 8)
     for method, labelled in (("kmeans", by_means), ("ward", by_ward)):
         lists = members_list(labelled, "cluster", "user_id")
         parts.append(

@@ -319,19 +319,29 @@ def growth_top10_stats(spark, sf):
     return rounded(out, 5, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+FEATURES = (
+    CUMULATIVE
+    + """
+, a as (select user_id, avg(delta_log_cases) as growth, avg(delta_cases) as change,
+               sum(cases) as cases from clean where cases > 0 group by 1),
+b as (select user_id, avg(delta_log_losses) as loss_growth, avg(delta_losses) as loss_change,
+             sum(losses) as losses from clean where cases > 0 and losses > 0 group by 1),
+features as (
+  select user_id, growth, change, cases, coalesce(loss_growth, 0) as loss_growth,
+         coalesce(loss_change, 0) as loss_change, coalesce(losses, 0) as losses
+  from a left join b using (user_id))
+"""
+)
+
+
 @query(
     "entity_features",
-    CUMULATIVE
+    FEATURES
     + f"""
-    , a as (select user_id, avg(delta_log_cases) as growth, avg(delta_cases) as change,
-                   sum(cases) as cases from clean where cases > 0 group by 1),
-    b as (select user_id, avg(delta_log_losses) as loss_growth, avg(delta_losses) as loss_change,
-                 sum(losses) as losses from clean where cases > 0 and losses > 0 group by 1)
     select user_id, {rnd('growth', 6)} as growth, {rnd('change', 6)} as change,
-           {rnd('cases', 2)} as cases, coalesce({rnd('loss_growth', 6)}, 0) as loss_growth,
-           coalesce({rnd('loss_change', 6)}, 0) as loss_change,
-           coalesce(losses, 0) as losses
-    from a left join b using (user_id)""",
+           {rnd('cases', 2)} as cases, {rnd('loss_growth', 6)} as loss_growth,
+           {rnd('loss_change', 6)} as loss_change, losses
+    from features""",
 )
 def entity_features_query(spark, sf):
     out = entity_features(clean(spark, sf))
