@@ -106,7 +106,49 @@ def elbow_table(spark, sf):
     return elbow(_space(spark, sf), _E, 24)
 
 
-@query("pca_2d")
+# Powers of a matrix by repeated squaring leave its first axis; taking that out leaves the second.
+def _axis_sql(name: str, matrix: str) -> str:
+    return f"""
+    {name}_power(step, m) as (
+      select 0, a from {matrix}
+      union all
+      select step + 1, [[list_dot_product(r, c) / t for c in m] for r in m]
+      from (select *, list_sum([m[i][i] * m[i][i] for i in range(1, len(m) + 1)]) as t
+            from {name}_power) where step < 24),
+    {name}_row as (
+      select r from (select unnest(m) as r from {name}_power where step = 24)
+      order by list_dot_product(r, r) desc limit 1),
+    {name} as (
+      select [z / sqrt(list_dot_product(r, r))
+                * case when list_max(r) >= -list_min(r) then 1 else -1 end for z in r] as v
+      from {name}_row)"""
+
+
+@query(
+    "pca_2d",
+    f"""
+    with recursive x as (
+      select vec_id, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) as i
+      from embeddings),
+    centred as (select vec_id, i, v - avg(v) over (partition by i) as v from x),
+    vectors as (select vec_id, list(v order by i) as e from centred group by 1),
+    cells as (
+      select p.i, q.i as j, sum(p.v * q.v) / (count(*) - 1) as c
+      from centred p join centred q using (vec_id) group by all),
+    matrix as (
+      select list(r order by i) as a
+      from (select i, list(c order by j) as r from cells group by 1)),
+    {_axis_sql('first_axis', 'matrix')},
+    rest as (
+      select [[a[i][j] - l * v[i] * v[j] for j in range(1, len(v) + 1)]
+              for i in range(1, len(v) + 1)] as a
+      from (select a, v, list_dot_product(v, [list_dot_product(r, v) for r in a]) as l
+            from matrix, first_axis)),
+    {_axis_sql('second_axis', 'rest')}
+    select vec_id, {rnd('list_dot_product(e, first_axis.v)', 5)} as pca1,
+           {rnd('list_dot_product(e, second_axis.v)', 5)} as pca2
+    from vectors, first_axis, second_axis""",
+)
 def pca_2d(spark, sf):
     pairs = principal_pair(_space(spark, sf), _E).select("vec_id", "pca1", "pca2")
     return rounded(pairs, 5, "pca1", "pca2")
