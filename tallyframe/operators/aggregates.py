@@ -54,9 +54,6 @@ def _with_order_stats(
         rows_per_bucket=rows_per_bucket,
     )
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    if len(sets) > 1:
-        # drop the bits of the three value columns that only the value counts group by
-        long = long.withColumn("set_bits", F.shiftright("set_bits", 3))
     wide = long.groupBy("set_bits", *keys).agg(
         *[
             F.max(F.when(F.col("column") == c, F.col(s))).alias(f"{c}_{s}")
@@ -102,7 +99,7 @@ def multi_stat_sets(
     base = df.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("set_bits"), F.count(F.lit(1)).alias("__rows"), *_one_pass(stats)
     )
-    base = base.filter(keys_present(keys, [])).drop("__rows")
+    base = base.filter(keys_present(keys)).drop("__rows")
     out = _with_order_stats(base, df, sets, stats, rows_per_bucket)
     bits = {
         sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): "+".join(s)
@@ -126,26 +123,23 @@ def table_stats(
     every = [*numbers, *others]
     row = df.agg(
         *[stat("count", c) for c in every],
-        *[stat("nunique", c) for c in others],
         *[stat(s, c) for c in numbers for s in ("std", "mean")],
         *[F.min(c).cast("string").alias(f"{c}_min") for c in every],
         *[F.max(c).cast("string").alias(f"{c}_max") for c in every],
     )
-    none = F.lit(None)
+    none = F.lit(None).cast("double")
+    # A distinct count on its own scans one column; several at once would multiply the rows.
+    distinct = {c: df.agg(stat("nunique", c)).scalar() for c in every}
     long = row.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        (none.cast("bigint") if c in numbers else F.col(f"{c}_nunique")).alias(
-                            "nunique"
-                        ),
+                        distinct[c].alias("nunique"),
                         F.col(f"{c}_count").alias("count"),
-                        (F.col(f"{c}_std") if c in numbers else none.cast("double")).alias("std"),
-                        (F.col(f"{c}_mean") if c in numbers else none.cast("double")).alias(
-                            "mean"
-                        ),
+                        (F.col(f"{c}_std") if c in numbers else none).alias("std"),
+                        (F.col(f"{c}_mean") if c in numbers else none).alias("mean"),
                         F.col(f"{c}_min").alias("min"),
                         F.col(f"{c}_max").alias("max"),
                     )
@@ -154,10 +148,8 @@ def table_stats(
             )
         )
     )
-    # The distinct values of a number are counted on the way to its median.
     ordered = order_stats(df, [[]], numbers, {"median": 0.5}, True, rows_per_bucket)
-    out = long.join(ordered.drop("set_bits"), "column", "left")
-    return out.withColumn("nunique", F.coalesce("nunique", "distinct", F.lit(0))).drop("distinct")
+    return long.join(ordered.drop("set_bits"), "column", "left")
 
 
 def describe_exact(
@@ -186,7 +178,7 @@ def describe_exact(
     )
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     ordered = order_stats(df, [[]], columns, quartiles, False, rows_per_bucket)
-    return long.join(ordered.drop("set_bits", "distinct"), "column", "left")
+    return long.join(ordered.drop("set_bits"), "column", "left")
 
 
 def share_of(df: DataFrame, key: str, unit: str = "distinct") -> DataFrame:

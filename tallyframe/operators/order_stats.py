@@ -1,8 +1,9 @@
 """Exact quantiles and mean absolute deviation, for any group size.
 
-``percentile`` and ``median`` keep every distinct value of a group in one task's memory. Here the
-rows shrink to (group, value, count) with map-side combining, the counts are summed per group
-and value range, and only the ranges that hold a wanted rank are looked at value by value.
+``percentile`` and ``median`` keep every distinct value of a group in one task's memory. Here a
+first pass counts rows per group and value range, which combines before the shuffle to a few
+numbers per task. Only the ranges that hold a wanted rank, or the mean, are then looked at value
+by value in a second pass, so almost no row is shuffled.
 """
 
 from __future__ import annotations
@@ -22,41 +23,49 @@ def same_keys(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
 
-def value_counts(
+def _long_rows(
     df: DataFrame, sets: list[list[str]], columns: list[str], rows_per_bucket: int
 ) -> DataFrame:
-    """Rows (set_bits, keys, column, bucket, value, n), for all key sets from one scan.
+    """Rows (set_bits, keys, column, bucket, value), one per key set and column.
 
-    ``column`` is the number of the column in the list. ``set_bits`` tells the key sets apart; rows with a null in a key of the set are left out.
+    ``column`` is the number of the column in the list. ``set_bits`` tells the key sets apart, as
+    ``grouping_id`` does: a bit is set for each key outside the set, which is null then. Rows
+    with a null in a key of the set are left out.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(f"__{c}") for c in columns])
     cut = with_buckets(doubles, {f"__{c}": f"__bucket_{c}" for c in columns}, rows_per_bucket)
-    entries = [
+    cells = [
         F.struct(
             F.lit(i).alias("column"),
-            F.col(f"__bucket_{c}").alias("bucket"),
+            F.col(f"__bucket_{c}").cast("int").alias("bucket"),
             F.col(f"__{c}").alias("value"),
         )
         for i, c in enumerate(columns)
     ]
-    rows = cut.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
-    per_value = ["column", "bucket", "value"]
+    rows = cut.select(*keys, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
     if len(sets) == 1:
         present = rows.na.drop(subset=keys) if keys else rows
-        counted = present.groupBy(*keys, *per_value).agg(F.count(F.lit(1)).alias("n"))
-        return counted.withColumn("set_bits", F.lit(0).cast("bigint"))
-    grouped = rows.groupingSets(
-        [[*s, *per_value] for s in sets], *keys, *per_value
-    ).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("set_bits"))
-    return grouped.filter(keys_present(keys, per_value))
+        return present.withColumn("set_bits", F.lit(0).cast("bigint"))
+    groups = []
+    for s in sets:
+        bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+        inside = [
+            (F.col(k) if k in s else F.lit(None).cast(df.schema[k].dataType)).alias(k)
+            for k in keys
+        ]
+        group = F.struct(F.lit(bits).cast("bigint").alias("set_bits"), *inside)
+        here = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s], F.lit(True))
+        groups.append(F.when(here, group))
+    return rows.select(
+        F.inline(F.array_compact(F.array(*groups))), "column", "bucket", "value"
+    )
 
 
-def keys_present(keys: list[str], rest: list[str]) -> Column:
+def keys_present(keys: list[str]) -> Column:
     """In a grouping-set result: no null among the keys that this row was grouped by."""
-    width = len(keys) + len(rest)
     tests = [
-        F.expr(f"(shiftright(set_bits, {width - 1 - i}) & 1) = 1") | F.col(k).isNotNull()
+        F.expr(f"(shiftright(set_bits, {len(keys) - 1 - i}) & 1) = 1") | F.col(k).isNotNull()
         for i, k in enumerate(keys)
     ]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -73,21 +82,20 @@ def order_stats(
     """One row per key set, group and column, with interpolated quantiles.
 
     ``shares`` names the quantiles, such as ``{"median": 0.5}``; ``deviation`` adds ``mad``, the
-    mean absolute deviation from the group's mean. ``distinct`` is the number of values.
+    mean absolute deviation from the group's mean.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     group = ["set_bits", *keys, "column"]
-    counts = value_counts(df, sets, columns, rows_per_bucket)
+    rows = _long_rows(df, sets, columns, rows_per_bucket)
 
     # One row per group and bucket; a group has at most MOST_BUCKETS of them.
     all_of = W.partitionBy(*group)
     before = all_of.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (
-        counts.groupBy(*group, "bucket")
+        rows.groupBy(*group, "bucket")
         .agg(
-            F.count(F.lit(1)).alias("values"),
-            F.sum("n").alias("rows"),
-            F.sum(F.col("n") * F.col("value")).alias("sum"),
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("value").alias("sum"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
         )
@@ -95,7 +103,6 @@ def order_stats(
             {
                 "start": F.coalesce(F.sum("rows").over(before), F.lit(0)),
                 "total": F.sum("rows").over(all_of),
-                "distinct": F.sum("values").over(all_of),
                 "mean": F.sum("sum").over(all_of) / F.sum("rows").over(all_of),
             }
         )
@@ -116,26 +123,30 @@ def order_stats(
         )
         wanted.append(F.col("split"))
     looked_at = buckets.filter(reduce(lambda a, b: a | b, wanted)).drop(
-        "values", "rows", "sum", "low", "high"
+        "rows", "sum", "low", "high"
     )
 
-    inside = W.partitionBy(*group, "bucket").orderBy("value")
-    up_to = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    marks = looked_at.select(
-        *[F.col(c).alias(f"m_{c}") if c in (*group, "bucket") else F.col(c)
-          for c in looked_at.columns]
-    )
+    marks = looked_at.withColumnsRenamed({c: f"m_{c}" for c in (*group, "bucket")})
     same = reduce(
         lambda a, b: a & b,
         [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in (*group, "bucket")],
     )
-    detail = counts.join(marks, same).withColumn("stop", F.col("start") + up_to)
+    # Only values and their counts are shuffled; the marks join again afterwards.
+    values = (
+        rows.join(marks, same, "left_semi")
+        .groupBy(*group, "bucket", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inside = W.partitionBy(*group, "bucket").orderBy("value")
+    up_to = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    detail = values.withColumn("up_to", up_to).join(marks, same)
+    detail = detail.withColumn("stop", F.col("start") + F.col("up_to"))
     first = F.col("stop") - F.col("n")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= first) & (rank < F.col("stop")), F.col("value")))
 
-    picks = [F.max(c).alias(c) for c in ("total", "mean", "distinct")]
+    picks = [F.max(c).alias(c) for c in ("total", "mean")]
     for name, rank in ranks.items():
         picks += [at(F.floor(rank)).alias(f"lo_{name}"), at(F.ceil(rank)).alias(f"hi_{name}")]
     if deviation:
@@ -147,7 +158,7 @@ def order_stats(
             F.sum(F.when(small, F.col("n") * F.col("value")).otherwise(0.0)).alias("sum_split"),
         ]
     picked = detail.groupBy(*group).agg(*picks)
-    out = [*group, "distinct"]
+    out = [*group]
     for name, rank in ranks.items():
         low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
         out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
