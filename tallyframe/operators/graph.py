@@ -11,10 +11,11 @@ from tallyframe.session import cut_lineage
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every node with the smallest node of its component.
 
-    ``nodes`` has a column ``node``, ``edges`` has ``a`` and ``b``. Each round takes the smallest
-    label among the neighbours and then the label's own label, so that long chains shorten by
-    half. Messages to a node are combined before the shuffle. Each round is written to the shared
-    folder, and only the number of changed labels comes to the driver.
+    ``nodes`` has a column ``node``, ``edges`` has ``a`` and ``b``. In each round a node takes
+    the smallest label among its neighbours and passes it on to the node that it was labelled
+    with, and then every label is replaced by its own label, so the number of rounds grows with
+    the logarithm of the longest chain. Messages to a node are combined before the shuffle. Each
+    round is written to the shared folder; only a yes or no comes to the driver.
     """
     both = cut_lineage(
         edges.select("a", "b").union(edges.select("b", "a")).distinct().filter("a <> b")
@@ -26,17 +27,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .groupBy("a")
             .agg(F.min("label").alias("heard"))
         )
-        closer = labels.join(heard, F.col("node") == F.col("a"), "left").select(
-            "node",
-            F.col("label").alias("old"),
-            F.least("label", F.coalesce("heard", "label")).alias("via"),
+        closer = cut_lineage(
+            labels.join(heard, F.col("node") == F.col("a"), "left").select(
+                "node", F.col("label").alias("old"), F.least("label", "heard").alias("via")
+            )
+        )
+        passed = closer.groupBy(F.col("old").alias("to")).agg(F.min("via").alias("passed"))
+        closer = cut_lineage(
+            closer.join(passed, F.col("node") == F.col("to"), "left").select(
+                "node", "old", F.least("via", "passed").alias("via")
+            )
         )
-        closer = cut_lineage(closer)
         roots = closer.select(F.col("node").alias("root"), F.col("via").alias("of_root"))
-        jumped = closer.join(roots, F.col("via") == F.col("root")).select(
-            "node", "old", F.least("via", "of_root").alias("label")
+        jumped = cut_lineage(
+            closer.join(roots, F.col("via") == F.col("root")).select(
+                "node", "old", F.least("via", "of_root").alias("label")
+            )
         )
-        jumped = cut_lineage(jumped)
         if jumped.filter("label <> old").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from tallyframe.session import shared_path
+from tallyframe.session import cut_lineage
 
 # fixed values: texts that a lenient CSV reader takes for a missing value
 MISSING_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>", "#N/A"]
@@ -77,9 +77,7 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Hand-off between tasks: write the table to the shared folder once and read it back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, name)
 
 
 def last_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
