@@ -1,6 +1,6 @@
 """Time the named queries; prints one JSON line.
 
-Every query runs once to warm up and then ``BENCH_RUNS`` times (2 by default); the median counts.
+Every query runs once to warm up and then ``BENCH_RUNS`` times (once by default); the median counts.
 A result is forced with the ``noop`` sink. Building the query, which may run jobs of its own, is
 part of the time.
 """
@@ -38,7 +38,7 @@ def timed(spark, folder: str, fn) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = local_session(cpus, 8)
     known = all_queries()
