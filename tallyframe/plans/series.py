@@ -200,7 +200,10 @@ def report_quality(spark, sf):
 
 
 def cumulative(spark, sf):
-    """Cumulative cases and peaks per (event type, user): running sums over the known days."""
+    """Cumulative cases and losses per (event type, user): running sums over the known days.
+
+    The window runs over one row per day, so its partitions are bounded by the calendar.
+    """
     so_far = (
         W.partitionBy("event_type", "user_id")
         .orderBy("day")
@@ -369,7 +372,7 @@ def entity_features(rows):
     )
 
 
-# Clusters of users: their nation-like group is the last digit of the key, a stand-in for labels.
+# A stand-in for cluster labels, so that SQL can say the same: the key modulo 8.
 _LOGS = ["log_cases", "delta_log_cases", "log_losses", "delta_log_losses"]
 
 GROWTH = (

@@ -1,10 +1,12 @@
 """Run the comparison from the command line: ``run_compare.py folder [query …]``."""
 
+import os
 import sys
 import time
 import traceback
 
-sys.path[:0] = ["/root/repo", "/root/repo/tests"]
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from compare import difference, duck, rows_of  # noqa: E402
 
