@@ -39,6 +39,36 @@ def packing(spark, folder):
     return pack(table(spark, folder, "documents"), tokenizer_path(), with_ids=False)
 
 
+DEDUP_SQL = """
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws
+  from documents),
+starts as (
+  select doc_id, p, md5(array_to_string(ws[p + 1 : p + 50], ' ')) as h
+  from (select doc_id, ws, unnest(range(greatest(len(ws) - 49, 0))) as p from w)),
+lows as (select h, min(doc_id) as low from starts group by h having min(doc_id) < max(doc_id)),
+gone as (
+  select doc_id, list(distinct p + k) as positions
+  from starts join lows using (h), range(50) as r(k) where doc_id > low group by doc_id),
+kept as (
+  select w.doc_id, len(ws) as n, coalesce(len(positions), 0) as removed,
+    case when positions is null then ws else
+      [x for x, i in ws if not list_contains(positions, i - 1)] end as left_words
+  from w left join gone using (doc_id))
+select doc_id, n::bigint as n_words, removed::bigint as n_removed,
+  sha256(array_to_string(left_words, ' ')) as kept_sha256
+from kept
+"""
+
+
+@query("op4_substring_dedup", DEDUP_SQL)
+def substring_dedup(spark, folder):
+    from tallyframe.llm.substring_dedup import substring_dedup as dedup
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 MIX_SQL = """
 with sized as (
   select doc_id, source, md5(coalesce(doc_id::varchar, '')) as digest,
