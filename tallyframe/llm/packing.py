@@ -207,6 +207,20 @@ def _greedy(left: dict[int, float], capacity: int) -> dict[int, int]:
     return uses
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination, free of the thread pools of linear algebra libraries."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0.0
+        work -= np.outer(factor, work[k])
+    return work[:, n:]
+
+
 def cutting_stock(
     demand: dict[int, int], capacity: int, gap: float = 1e-3, rounds: int = 4000
 ) -> list[tuple[int, dict[int, int]]]:
@@ -235,13 +249,13 @@ def cutting_stock(
             patterns[row[w], k] = a
             rest[w] = max(rest[w] - a * amount[k], 1e-9)
         rest[used_up] = 0.0
-    inverse = np.linalg.inv(patterns)
+    inverse = _inverse(patterns)
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
         value, pattern = _price(duals, widths, capacity)
         if value <= 1.0 + gap:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         able = np.flatnonzero(direction > 1e-9)
         ratio = amount[able] / direction[able]
         out = able[int(ratio.argmin())]

@@ -69,6 +69,16 @@ def substring_dedup(spark, folder):
     return dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op8_quality_rules")
+def quality_rules(spark, folder):
+    from tallyframe.llm.quality import BASE
+    from tallyframe.llm.quality import quality_rules as rules
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = rules(docs, with_text=False)
+    return found.select("doc_id", *BASE, "log_perplexity", "low", "high", "kept")
+
+
 MIX_SQL = """
 with sized as (
   select doc_id, source, md5(coalesce(doc_id::varchar, '')) as digest,
