@@ -69,6 +69,13 @@ def substring_dedup(spark, folder):
     return dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op6_jaccard_join")
+def jaccard_join(spark, folder):
+    from tallyframe.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op8_quality_rules")
 def quality_rules(spark, folder):
     from tallyframe.llm.quality import BASE
