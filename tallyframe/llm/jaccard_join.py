@@ -180,7 +180,7 @@ class Pivots:
 
 
 def _voronoi(pivots: Pivots, num: int, den: int):
-    """Regions a set belongs to; pivot -1 for the sets that need other pivots."""
+    """Regions a set belongs to; no pivot for the sets that need other pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
@@ -194,7 +194,7 @@ def _voronoi(pivots: Pivots, num: int, den: int):
                 for k in np.flatnonzero(distance <= OUTER):
                     rows.append((cid, raw, pivots.ids[k], bool(linked[k])))
                 if distance.min() > INNER:
-                    rows.append((cid, raw, -1, False))
+                    rows.append((cid, raw, None, False))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -254,7 +254,7 @@ def _families(sets: DataFrame, num: int, den: int, pivots: int, block: int) -> l
             ),
             "regions",
         )
-        inside = dealt.filter("pivot >= 0 or pivot < -1")
+        inside = dealt.filter("pivot is not null")
         links.append(
             inside.filter("linked and cid <> pivot").select(
                 F.col("pivot").alias("a"), F.col("cid").alias("b")
@@ -283,7 +283,7 @@ def _families(sets: DataFrame, num: int, den: int, pivots: int, block: int) -> l
         )
         tiles = every.groupBy("pivot", "i", "j").cogroup(opened.groupBy("pivot", "i", "j"))
         links.append(tiles.applyInPandas(_tile(num, den), "a long, b long").filter("a <> b"))
-        todo = dealt.filter("pivot = -1").select("cid", "elements")
+        todo = dealt.filter("pivot is null").select("cid", "elements")
         turn += 1
 
 

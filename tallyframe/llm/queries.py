@@ -69,6 +69,49 @@ def substring_dedup(spark, folder):
     return dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op3_rank_order_language")
+def rank_order_language(spark, folder):
+    from tallyframe.llm.common import crc32_mod
+    from tallyframe.llm.language_id import identify, learn_profiles
+
+    docs = table(spark, folder, "documents")
+    held_out = crc32_mod("doc_id", 4) == 2
+    profiles = learn_profiles(docs.filter(~held_out).select("text", "lang"), "text", "lang")
+    found = identify(docs.select("doc_id", "text"), profiles)
+    return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+WARC_SQL = """
+with hashed as (
+  select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+firsts as (select h, min(page_id) as first_id from hashed group by h)
+select page_id, octet_length(encode(hashed.h))::bigint as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(s, (x // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (x % 4))) & 31)::int + 1, 1)
+    for x in range(32)], '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from hashed join firsts using (h)
+"""
+
+
+@query("op5_warc_assembly", WARC_SQL)
+def warc_assembly(spark, folder):
+    from tallyframe.llm.warc import assemble, read_records, write_archives
+    from tallyframe.session import shared_path
+
+    path = shared_path(spark, "archives")
+    write_archives(table(spark, folder, "pages"), path)
+    captures = assemble(read_records(spark, path, with_payload=False))
+    return captures.select(
+        "page_id",
+        "payload_bytes",
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("refers_to_page").alias("refers_to"),
+    )
+
+
 @query("op6_jaccard_join")
 def jaccard_join(spark, folder):
     from tallyframe.llm.jaccard_join import jaccard_components
