@@ -129,6 +129,32 @@ def quality_rules(spark, folder):
     return found.select("doc_id", *BASE, "log_perplexity", "low", "high", "kept")
 
 
+@query("op7_trie_toxicity")
+def trie_toxicity(spark, folder):
+    from tallyframe.llm.common import crc32_mod
+    from tallyframe.llm.toxicity import fit_weights, learn_lexicon, score_toxicity
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 5) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter("toxic is not null")
+    labelled = docs.join(labels.filter(~held_out), "doc_id").select("text", "toxic")
+    terms = learn_lexicon(labelled)
+    weights = fit_weights(labelled, terms)
+    found = score_toxicity(docs, terms, weights)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op9_log_bilinear_scores")
+def log_bilinear_scores(spark, folder):
+    from tallyframe.llm.common import crc32_mod
+    from tallyframe.llm.lm_scoring import score_texts
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 7) == 2
+    found = score_texts(docs, ~held_out)
+    return found.withColumn("held_out", held_out)
+
+
 MIX_SQL = """
 with sized as (
   select doc_id, source, md5(coalesce(doc_id::varchar, '')) as digest,
