@@ -32,6 +32,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_multi_index_hashing")
+def multi_index_hashing(spark, folder):
+    from tallyframe.llm.ann import nearest
+
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op2_packing")
 def packing(spark, folder):
     from tallyframe.llm.packing import pack

@@ -146,8 +146,9 @@ def _settle(texts: list[bytes], known: WordHashes, length: int, own, flags):
     return removed, unsure, one.of(unsure, unsure + length), two.of(unsure, unsure + length)
 
 
-def _outcome(texts: list[bytes], starts: np.ndarray, length: int, with_text: bool) -> tuple:
+def _outcome(raw: bytes | None, starts: np.ndarray, length: int, with_text: bool) -> tuple:
     """What is left of a text when the windows at ``starts`` go."""
+    texts = words(raw)
     n = len(texts)
     if len(starts):
         marks = _covered(starts, n, length)
@@ -156,7 +157,8 @@ def _outcome(texts: list[bytes], starts: np.ndarray, length: int, with_text: boo
     else:
         kept, removed, spans = b" ".join(texts), 0, []
     digest = hashlib.sha256(kept).hexdigest()
-    return n, removed, spans, kept.decode() if with_text else None, digest
+    left = kept if removed else raw
+    return n, removed, spans, left.decode() if with_text and raw is not None else None, digest
 
 
 def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
@@ -166,13 +168,12 @@ def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
             known.trim()
             columns = batch.columns
             owns = columns[0].to_pylist()
-            flags = columns[-1].to_pylist() if columns[-1].null_count == len(owns) else None
             lists = columns[-1]
             rows = []
             for i, raw in enumerate(utf8(columns[2])):
                 texts = words(raw)
                 starts, unsure, one, two = [np.zeros(0, np.int64)] * 4
-                if flags is None and lists[i].is_valid:
+                if lists[i].is_valid:
                     found = lists[i].values
                     parts = [found.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
                     starts, unsure, one, two = _settle(texts, known, length, owns[i], parts)
@@ -190,7 +191,7 @@ def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
                         )
                     )
                 else:
-                    rows.append((*_outcome(texts, starts, length, with_text), None, None, None))
+                    rows.append((*_outcome(raw, starts, length, with_text), None, None, None))
             made = [
                 pa.array(c, schema.field(width + k).type) for k, c in enumerate(zip(*rows))
             ]
@@ -208,7 +209,7 @@ def _second_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
             starts, more = (batch.column(n).to_pylist() for n in ("removed", "__hits"))
             rows = [
                 _outcome(
-                    words(raw), np.array(sorted({*a, *(b or ())}), np.int64), length, with_text
+                    raw, np.array(sorted({*a, *(b or ())}), np.int64), length, with_text
                 )
                 for raw, a, b in zip(utf8(batch.column("kept_text")), starts, more)
             ]
@@ -231,8 +232,9 @@ def substring_dedup(
     """Remove every word in a run of ``length`` words that also begins in a smaller document id.
 
     Keeps the input columns but the text and adds ``n_words``, ``n_removed``, ``removed`` (begin
-    and end of each removed stretch, in words, one after the other), ``kept_text`` (kept words
-    joined by a blank; null unless ``with_text``) and ``kept_sha256``.
+    and end of each removed stretch, in words, one after the other), ``kept_text`` (the
+    text if it loses nothing, else its kept words joined by a blank; null unless ``with_text``)
+    and ``kept_sha256`` (of the kept words joined by a blank).
 
     Only nodes, about one word in twenty, are shuffled for all texts; texts are shuffled once to
     meet their repeated nodes, and again only where windows touch a branch. Counts per node

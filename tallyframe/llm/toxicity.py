@@ -106,6 +106,22 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node["$" if term.endswith("$") else "*"] = len(term.removesuffix("$"))
         self.known: dict[str, int] = {}
+        # an edit leaves one half of a term as it is, in its place or one beside
+        self.heads: set[tuple[int, str]] = set()
+        self.tails: set[tuple[int, str]] = set()
+        for term in terms:
+            t, whole = term.removesuffix("$"), term.endswith("$")
+            if len(t) >= (5 if whole else 6):
+                half = len(t) // 2
+                self.heads.add((half, t[:half]))
+                self.tails.update((half + d, t[half:]) for d in (-1, 0, 1))
+        self.cuts = {h for h, _ in self.heads}
+        self.spans = {(at, len(t)) for at, t in self.tails}
+
+    def near(self, word: str) -> bool:
+        return any((h, word[:h]) in self.heads for h in self.cuts) or any(
+            (at, word[at : at + n]) in self.tails for at, n in self.spans
+        )
 
     def exact(self, word: str) -> bool:
         node = self.root
@@ -118,6 +134,8 @@ class Lexicon:
         return "*" in node or "$" in node
 
     def fuzzy(self, word: str, edits: int = 1) -> bool:
+        if not self.near(word):
+            return False
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
