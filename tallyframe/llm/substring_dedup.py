@@ -48,6 +48,11 @@ def nodes_of(hashes: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     padded[length - K : length - K + len(least)] = least
     chosen = np.flatnonzero((sliding(padded, length - K + 1, np.maximum) == grams) & (grams > 0))
     chosen = chosen[chosen + K <= end_of[chosen]]
+    # of a stretch of equal k-mers the first, the last, and one in twenty: each window meets one
+    after = np.r_[grams[1:], 0][chosen] == grams[chosen]
+    before = np.r_[0, grams[:-1]][chosen] == grams[chosen]
+    first = np.repeat(np.r_[0, ends[:-1]], np.diff(ends, prepend=0))[chosen]
+    chosen = chosen[~(after & before) | ((chosen - first) % 20 == 0)]
     return chosen, grams, least
 
 
@@ -142,8 +147,11 @@ def _settle(texts: list[bytes], known: WordHashes, length: int, own, flags):
     sure = left_ok & right_ok
     removed = np.flatnonzero(repeated[smallest] & sure & earlier[smallest])
     unsure = np.flatnonzero(repeated[smallest] & ~sure)
-    one, two = Runs(hashes), Runs(hashes, 1)
-    return removed, unsure, one.of(unsure, unsure + length), two.of(unsure, unsure + length)
+    one, two = (Runs(hashes, f).of(unsure, unsure + length) for f in (0, 1))
+    # each different window once; those whose node is nowhere earlier can only be sources
+    _, once, which = np.unique(one, return_index=True, return_inverse=True)
+    later = earlier[smallest[unsure[once]]]
+    return removed, unsure, which, one[once], two[once], later
 
 
 def _outcome(raw: bytes | None, starts: np.ndarray, length: int, with_text: bool) -> tuple:
@@ -172,11 +180,13 @@ def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
             rows = []
             for i, raw in enumerate(utf8(columns[2])):
                 texts = words(raw)
-                starts, unsure, one, two = [np.zeros(0, np.int64)] * 4
+                starts, unsure, which, one, two, later = [np.zeros(0, np.int64)] * 6
                 if lists[i].is_valid:
                     found = lists[i].values
                     parts = [found.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
-                    starts, unsure, one, two = _settle(texts, known, length, owns[i], parts)
+                    starts, unsure, which, one, two, later = _settle(
+                        texts, known, length, owns[i], parts
+                    )
                 if len(unsure):
                     rows.append(
                         (
@@ -186,12 +196,14 @@ def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
                             raw.decode(),
                             None,
                             unsure.tolist(),
+                            which.tolist(),
+                            later.tolist(),
                             one.view(np.int64).tolist(),
                             two.view(np.int64).tolist(),
                         )
                     )
                 else:
-                    rows.append((*_outcome(raw, starts, length, with_text), None, None, None))
+                    rows.append((*_outcome(raw, starts, length, with_text), *[None] * 5))
             made = [
                 pa.array(c, schema.field(width + k).type) for k, c in enumerate(zip(*rows))
             ]
@@ -206,13 +218,14 @@ def _first_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
 def _second_pass(length: int, with_text: bool, width: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
-            starts, more = (batch.column(n).to_pylist() for n in ("removed", "__hits"))
-            rows = [
-                _outcome(
-                    raw, np.array(sorted({*a, *(b or ())}), np.int64), length, with_text
-                )
-                for raw, a, b in zip(utf8(batch.column("kept_text")), starts, more)
-            ]
+            names = ("removed", "__unsure", "__which", "__hits")
+            rows = []
+            for raw, *lists in zip(
+                utf8(batch.column("kept_text")), *(batch.column(n).to_pylist() for n in names)
+            ):
+                sure, unsure, which, hits = (np.array(x or (), np.int64) for x in lists)
+                starts = np.union1d(sure, unsure[np.isin(which, hits)])
+                rows.append(_outcome(raw, starts, length, with_text))
             made = [
                 pa.array(c, schema.field(width + k).type) for k, c in enumerate(zip(*rows))
             ]
@@ -257,9 +270,8 @@ def substring_dedup(
     )
     node_schema = schema_of(keyed, ["__id", "__key"], "pos int, node long, before long, after long")
     source = keyed.select("__id", "__key", "__text").filter("__id is not null and __text is not null")
-    nodes = cut_lineage(
-        source.mapInArrow(_nodes(length, to_arrow_schema(node_schema)), node_schema), "nodes"
-    )
+    # found twice rather than kept: the table of nodes would take more room than its making time
+    nodes = source.mapInArrow(_nodes(length, to_arrow_schema(node_schema)), node_schema)
     shared = (
         nodes.groupBy("node")
         .agg(
@@ -282,17 +294,19 @@ def substring_dedup(
     ).drop("__i", "__k")
     more = (
         "n_words long, n_removed long, removed array<int>, kept_text string, kept_sha256 string, "
-        "__unsure array<int>, __one array<long>, __two array<long>"
+        "__unsure array<int>, __which array<int>, __later array<boolean>, __one array<long>, "
+        "__two array<long>"
     )
     schema = schema_of(keyed, ["__id", "__key", *rest], more)
     width = 2 + len(rest)
     run = _first_pass(length, with_text, width, to_arrow_schema(schema))
     partial = cut_lineage(met.mapInArrow(run, schema), "settled")
-    done = partial.filter("__unsure is null").drop("__unsure", "__one", "__two")
+    inner = ("__unsure", "__which", "__later", "__one", "__two")
+    done = partial.filter("__unsure is null").drop(*inner)
     pending = partial.filter("__unsure is not null")
     windows = pending.select(
-        "__id", "__key", F.explode(F.arrays_zip("__unsure", "__one", "__two")).alias("w")
-    ).select("__id", "__key", "w.__unsure", "w.__one", "w.__two")
+        "__id", "__key", F.posexplode(F.arrays_zip("__later", "__one", "__two")).alias("at", "w")
+    ).select("__id", "__key", "at", "w.__later", "w.__one", "w.__two")
     sources = (
         windows.groupBy("__one", "__two")
         .agg(F.min("__id").alias("low"), F.max("__id").alias("high"))
@@ -300,15 +314,16 @@ def substring_dedup(
         .select("__one", "__two", "low")
     )
     hits = (
-        windows.join(sources, ["__one", "__two"])
+        windows.filter("__later")
+        .join(sources, ["__one", "__two"])
         .filter(F.col("__id") > F.col("low"))
         .groupBy(F.col("__id").alias("__i"), F.col("__key").alias("__k"))
-        .agg(F.collect_list("__unsure").alias("__hits"))
+        .agg(F.collect_list("at").alias("__hits"))
     )
-    left = pending.drop("__unsure", "__one", "__two").join(
+    left = pending.drop("__later", "__one", "__two").join(
         hits, (F.col("__id") == F.col("__i")) & (F.col("__key") == F.col("__k")), "left"
     )
-    out = StructType([f for f in schema.fields if f.name not in ("__unsure", "__one", "__two")])
+    out = StructType([f for f in schema.fields if f.name not in inner])
     settled = left.drop("__i", "__k").mapInArrow(
         _second_pass(length, with_text, width, to_arrow_schema(out)), out
     )
