@@ -225,7 +225,7 @@ def _tile(num: int, den: int):
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            for cid, raw in zip(right["cid"], right["elements"]):
+            for cid, raw in zip(right["open_cid"], right["open_elements"]):
                 found = np.frombuffer(raw, np.uint64)
                 both = index.shared(found)
                 for k in np.flatnonzero(both * den >= (len(found) + index.sizes - both) * num):
@@ -275,13 +275,13 @@ def _families(sets: DataFrame, num: int, den: int, pivots: int, block: int) -> l
             F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("j"),
         )
         opened = spread.filter("not linked").select(
-            "pivot",
-            "cid",
-            "elements",
-            F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("i"),
-            (own % F.col("open")).cast("int").alias("j"),
+            F.col("pivot").alias("at"),
+            F.col("cid").alias("open_cid"),
+            F.col("elements").alias("open_elements"),
+            F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("k"),
+            (own % F.col("open")).cast("int").alias("l"),
         )
-        tiles = every.groupBy("pivot", "i", "j").cogroup(opened.groupBy("pivot", "i", "j"))
+        tiles = every.groupBy("pivot", "i", "j").cogroup(opened.groupBy("at", "k", "l"))
         links.append(tiles.applyInPandas(_tile(num, den), "a long, b long").filter("a <> b"))
         todo = dealt.filter("pivot is null").select("cid", "elements")
         turn += 1
