@@ -105,11 +105,11 @@ from hashed join firsts using (h)
 @query("op5_warc_assembly", WARC_SQL)
 def warc_assembly(spark, folder):
     from tallyframe.llm.warc import assemble, read_records, write_archives
-    from tallyframe.session import shared_path
+    from tallyframe.session import cut_lineage, shared_path
 
     path = shared_path(spark, "archives")
     write_archives(table(spark, folder, "pages"), path)
-    captures = assemble(read_records(spark, path, with_payload=False))
+    captures = assemble(cut_lineage(read_records(spark, path, with_payload=False), "records"))
     return captures.select(
         "page_id",
         "payload_bytes",

@@ -23,6 +23,7 @@ from tallyframe.llm.common import pieces, utf8
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SLOTS = 64
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, "
@@ -129,28 +130,27 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16_000_000)
     gives records without a target. Rows alike in id, url and payload are one capture. Other
     columns are not read. An archive is bounded by ``archive_bytes`` and one record.
 
-    The smallest id per payload combines before the shuffle; the join that brings it back has one
-    row per payload on one side, so a payload of a third of all pages is split by adaptive
-    execution.
+    Which capture a payload goes back to is settled on ids and digests alone; the payloads
+    themselves are shuffled once, by capture, so a payload of a third of all pages is spread out.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"
     ).withColumn("sum", F.sha2(F.coalesce("html", F.lit("")), 256))
-    base = base.dropDuplicates(["page_id", "url", "sum"])
+    base = base.withColumn("ident", _uuid(F.col("page_id"), F.col("url"), F.col("sum")))
     order = F.struct(
-        F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"), "url"
+        F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"), "url", "ident"
     )
-    first = base.groupBy(F.col("sum").alias("s")).agg(F.min(order).alias("f"))
-    captures = base.join(first, F.col("sum") == F.col("s")).withColumn(
-        "own",
-        F.col("page_id").eqNullSafe(F.col("f.page_id")) & F.col("url").eqNullSafe(F.col("f.url")),
+    first = base.groupBy(F.col("sum").alias("s")).agg(F.min(order)["ident"].alias("first"))
+    revisits = (
+        base.select("sum", F.col("ident").alias("i"))
+        .join(first, F.col("sum") == F.col("s"))
+        .filter("i != first")
+        .select("i", F.col("first").alias("refers"))
+        .distinct()
     )
-    ready = captures.select(
-        "page_id",
-        "url",
-        "html",
-        _uuid(F.col("page_id"), F.col("url"), F.col("sum")).alias("ident"),
-        F.when(~F.col("own"), _uuid(F.col("f.page_id"), F.col("f.url"), F.col("sum"))).alias("refers"),
+    captures = base.drop("sum").dropDuplicates(["ident"])
+    ready = captures.join(revisits, F.col("ident") == F.col("i"), "left").select(
+        "page_id", "url", "html", "ident", "refers"
     )
     (
         ready.mapInArrow(_write(archive_bytes), "archive string, record string")
@@ -260,8 +260,17 @@ def assemble(records: DataFrame) -> DataFrame:
         F.col("page_id").alias("refers_to_page"),
         F.col("response.payload_bytes").alias("origin_bytes"),
     )
+    # A response with very many revisits is looked up once per slot, not once per revisit.
+    slotted = captures.withColumn("slot", F.pmod(F.xxhash64("capture_id"), F.lit(SLOTS)))
+    wanted = (
+        slotted.filter("response.type = 'revisit'")
+        .select(F.col("response.refers_to").alias("origin"), F.col("slot").alias("at"))
+        .distinct()
+    )
+    found = wanted.join(origins, "origin")
+    here = (F.col("response.refers_to") == F.col("origin")) & (F.col("slot") == F.col("at"))
     return (
-        captures.join(origins, F.col("response.refers_to") == F.col("origin"), "left")
+        slotted.join(found, here, "left")
         .withColumn("payload_bytes", F.coalesce("response.payload_bytes", "origin_bytes"))
-        .drop("origin", "origin_bytes")
+        .drop("origin", "origin_bytes", "slot", "at")
     )
