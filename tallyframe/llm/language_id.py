@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -93,6 +94,19 @@ def _hash(gram: str) -> int:
     return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass")) >> 1
 
 
+class _Numbers(dict):
+    """Numbers of n-grams in the order they are first met; ``hashes`` has their hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = array("q")
+
+    def __missing__(self, gram: str) -> int:
+        self[gram] = number = len(self)
+        self.hashes.append(_hash(gram))
+        return number
+
+
 class Profiles:
     def __init__(self, profiles: dict[str, list[str]], size: int):
         self.size = size
@@ -104,25 +118,29 @@ class Profiles:
             self.keys.append(keys[order])
             self.ranks.append(np.arange(len(keys))[order])
         self.known: dict[bytes, np.ndarray] = {}
+        self.numbers = _Numbers()
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         words = Counter(text.split()) if text else Counter()
-        if len(self.known) > 150_000:
-            self.known = {}
+        if len(self.known) > 150_000 or len(self.numbers) > 200_000:
+            self.known, self.numbers = {}, _Numbers()
+        number = self.numbers.__getitem__
         arrays = []
         for w in words:
             own = self.known.get(w)
             if own is None:
-                own = self.known[w] = np.array([_hash(g) for g in grams(w)], np.int64)
+                own = self.known[w] = np.array(list(map(number, grams(w))), np.int32)
             arrays.append(own)
         lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
         if not lengths.sum() or not self.langs:
             return "und", 0.0
-        keys, where = np.unique(np.concatenate(arrays), return_inverse=True)
-        times = np.bincount(
-            where, np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths)
-        )
-        top = keys[np.lexsort((keys, -times))[: self.size]]
+        weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths)
+        times = np.bincount(np.concatenate(arrays), weights)
+        met = np.flatnonzero(times)
+        if len(met) > self.size:  # drop what is rarer than the last place; ties stay in
+            met = met[times[met] >= -np.partition(-times[met], self.size - 1)[self.size - 1]]
+        keys = np.frombuffer(self.numbers.hashes, np.int64)[met]
+        top = keys[np.lexsort((keys, -times[met]))[: self.size]]
         own_rank = np.arange(len(top))
         far = np.empty(len(self.langs))
         for k, (profile, ranks) in enumerate(zip(self.keys, self.ranks)):
