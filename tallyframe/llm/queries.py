@@ -212,6 +212,69 @@ def systematic_mix(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+MAIN_TEXT_SQL = """
+with cut as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') as body
+  from pages),
+blocks as (
+  select page_id, url, list_filter(list_transform(
+    regexp_split_to_array(replace(regexp_replace(body, '</?b>', '', 'g'), '<br>', ' '), '</?(p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'),
+      '\\s+', ' ', 'g'))), lambda b: b <> '') as kept
+  from cut)
+select page_id, url, coalesce(array_to_string(kept, chr(10)), '') as text,
+  length(coalesce(array_to_string(kept, chr(10)), ''))::bigint as n_chars
+from blocks
+"""
+
+
+@query("op11_main_text", MAIN_TEXT_SQL)
+def main_text(spark, folder):
+    from tallyframe.llm.main_text import extract_main_text
+
+    found = extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
+@query("op12_whitening")
+def whitening(spark, folder):
+    from tallyframe.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+HARD_NEGATIVES_SQL = """
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, (row_number() over w)::int as rank, s.vec_id as negative_id,
+  positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not same
+  and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+window w as (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)
+qualify rank <= 5
+"""
+
+
+@query("op13_hard_negatives", HARD_NEGATIVES_SQL)
+def hard_negatives(spark, folder):
+    from tallyframe.llm.hard_negatives import mine_hard_negatives
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
