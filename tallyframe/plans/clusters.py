@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.aggregates import members_list
 from tallyframe.operators.boxes import cluster_boxes, crop_rects, point_regions
 from tallyframe.operators.dbscan import dbscan
+from tallyframe.operators.density import dbscan_space
 from tallyframe.operators.features import elbow, kmeans, principal_pair, standardise
 from tallyframe.operators.linkage import linkage
 from tallyframe.plans.registry import query, rnd, rounded
@@ -232,6 +233,34 @@ def dbscan_labels(spark, sf):
     )
 
 
+@query(
+    "dbscan_space_labels",
+    """
+    with recursive e as (select vec_id, embedding::double[] as e from embeddings),
+    near as (
+      select a.vec_id as a, b.vec_id as b from e a, e b where list_distance(a.e, b.e) <= 1.15),
+    core as (select a from near group by 1 having count(*) >= 5),
+    core_near as (select near.a, near.b from near join core on near.b = core.a),
+    reach(root, id) as (
+      select a, a from core
+      union
+      select root, n.b from reach join core_near n on n.a = id join core c on c.a = n.a),
+    named as (select id, min(root) as cluster from reach group by 1),
+    border as (
+      select n.a as id, min(cluster) as cluster from core_near n join named on named.id = n.b
+      where n.a not in (select a from core) group by 1)
+    select vec_id, coalesce(named.cluster, border.cluster, -1) as cluster,
+           named.id is not null as is_core
+    from embeddings left join named on named.id = vec_id left join border on border.id = vec_id
+    """,
+)
+def dbscan_space_labels(spark, sf):
+    """Density clusters over all coordinates of the vectors."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = dbscan_space(vectors, "vec_id", "embedding", 1.15, 5)
+    return out.select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "is_core")
+
+
 @query(
     "point_regions",
     f"""
