@@ -155,7 +155,42 @@ def pca_2d(spark, sf):
     return rounded(pairs, 5, "pca1", "pca2")
 
 
-@query("ward_labels")
+# The matrix of all distances, of which each step rewrites one row and column (Ward's recurrence).
+@query(
+    "ward_labels",
+    """
+    with recursive e as (
+      select row_number() over (order by vec_id) as i, vec_id, embedding::double[] as e
+      from embeddings),
+    rows as (
+      select a.i, list(case when a.i = b.i then 'inf'::double else list_distance(a.e, b.e) end
+                       order by b.i) as r
+      from e a, e b group by a.i),
+    steps(step, size, label, d) as (
+      select 0, (select list(1.0::double order by i) from e), (select list(i order by i) from e),
+             (select list(r order by i) from rows)
+      union all
+      select step + 1,
+        [case when k = i then size[i] + size[j] else size[k] end for k in range(1, len(size) + 1)],
+        [case when x = j then i else x end for x in label],
+        [case when k = j then [r * 0 + 'inf'::double for r in d[1]] when k = i then new
+              else list_concat(d[k][:i - 1], [new[k]], d[k][i + 1:j - 1], ['inf'::double], d[k][j + 1:])
+              end for k in range(1, len(size) + 1)]
+      from (
+        select *, [case when k = i or k = j or d[i][k] = 'inf'::double then 'inf'::double else
+            sqrt(((size[i] + size[k]) * d[i][k] ** 2 + (size[j] + size[k]) * d[j][k] ** 2
+                  - size[k] * m ** 2) / (size[i] + size[j] + size[k])) end
+          for k in range(1, len(size) + 1)] as new
+        from (
+          select *, list_position(d[i], m) as j
+          from (
+            select *, list_min(lows) as m, list_position(lows, list_min(lows)) as i
+            from (select *, [list_min(r) for r in d] as lows from steps
+                  where step < len(size) - 8)))))
+    select e.vec_id, least_key.vec_id as cluster
+    from (select label from steps order by step desc limit 1) last, e
+    join e least_key on least_key.i = last.label[e.i]""",
+)
 def ward_labels(spark, sf):
     labelled, _ = linkage(_space(spark, sf), "vec_id", _E, "ward", 8)
     return labelled.select("vec_id", "cluster")

@@ -86,6 +86,30 @@ def _greedy(points, method, k):
         heights.append(h)
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+@pytest.mark.parametrize("max_local", [14])
+def test_linkage_with_ties_is_the_same_at_every_size(spark, method, max_local):
+    """Grids, corners of a cube at equal distances and copies; many pairs are equally close."""
+    grid = [(float(x), float(y), 0.0) for x in range(4) for y in range(3)]
+    corners = [tuple(float(i == k) * 9 for k in range(3)) for i in range(3)] + [(9.0, 9.0, 9.0)]
+    points = [*grid, *corners, *grid[:5], *[(x / 3, 7.0, 1 / 3) for x in range(5)]]
+    order = np.random.default_rng(8).permutation(len(points))
+    rows = [("a", int(i), *points[k]) for i, k in enumerate(order)]
+    schema = "g string, id long, x double, y double, z double"
+
+    def tree(local, parts):
+        df = spark.createDataFrame(rows, schema).repartition(parts)
+        labelled, merges = linkage(
+            df, "id", ["x", "y", "z"], method, 5, "g", max_local=local, chunk=6
+        )
+        found = sorted((r.lo, r.hi, r.height, r.size) for r in merges.collect())
+        return {r.id: r.cluster for r in labelled.collect()}, found
+
+    labels, merges = tree(2000, 1)
+    assert len(merges) == len(points) - 1 and len(set(labels.values())) == 5
+    assert tree(max_local, 4) == (labels, merges)
+
+
 @pytest.mark.parametrize("method", ["ward", "average"])
 @pytest.mark.parametrize("max_local", [2000, 16])
 def test_linkage_is_the_greedy_tree(spark, method, max_local):
