@@ -8,7 +8,8 @@ from tallyframe.operators.aggregates import members_list
 from tallyframe.operators.boxes import cluster_boxes, crop_rects, point_regions
 from tallyframe.operators.dbscan import dbscan
 from tallyframe.operators.density import dbscan_space
-from tallyframe.operators.features import elbow, kmeans, principal_pair, standardise
+from tallyframe.operators.features import principal_pair, standardise
+from tallyframe.operators.kmeans import OVERSAMPLE, ROUNDS, STEPS, elbow, kmeans
 from tallyframe.operators.linkage import linkage
 from tallyframe.plans.registry import query, rnd, rounded
 from tallyframe.plans.series import FEATURES, clean, entity_features
@@ -97,14 +98,98 @@ def _space(spark, sf):
 _E = [f"e{i}" for i in range(DIMENSIONS)]
 
 
-@query("kmeans_labels")
+# K-means step by step: (key, e) of ``points`` are drawn as seeds, put in order, and moved. ``tail``
+# reads the models (k, m) in ``models``.
+def _kmeans_sql(points: str, least_k: int, most_k: int, tail: str) -> str:
+    return f"""
+    with recursive points as ({points}),
+    turns as (
+      select key, e, turn,
+        (('0x' || substr(md5(key || ':' || turn), 1, 13))::bigint + 1.0::double) / 4503599627370496 as u
+      from points, range({ROUNDS + 1}) as t(turn)),
+    draws(turn, s) as (
+      select 0, [e] from (select e from turns where turn = 0 order by u, key limit 1)
+      union all
+      select turn + 1, any_value(s) || list(e order by place)
+      from (
+        select d.turn, s, e, row_number() over (order by -ln(u) / cost, key) as place
+        from (
+          select draws.turn, s, e, key, u,
+            list_min([list_distance(c, e) for c in s]) ** 2 as cost
+          from draws join turns on turns.turn = draws.turn + 1) d
+        where cost > 0)
+      where place <= {OVERSAMPLE * most_k} group by turn),
+    drawn as (select s from draws order by turn desc limit 1),
+    attracted as (
+      select list_position(d, list_min(d)) as i, count(*)::double as n
+      from (select [list_distance(c, e) for c in s] as d from points, drawn) group by 1),
+    weighed as (
+      select s, [coalesce(m[i], 0) for i in range(1, len(s) + 1)] as w
+      from drawn, (select map_from_entries(list((i, n))) as m from attracted)),
+    chosen(ids, away) as (
+      select [list_position(w, list_max(w))],
+        [list_distance(c, s[list_position(w, list_max(w))]) ** 2 for c in s] from weighed
+      union all
+      select list_append(ids, i),
+        [least(away[j], list_distance(s[j], s[i]) ** 2) for j in range(1, len(s) + 1)]
+      from (
+        select ids, away, s, list_position(v, list_max(v)) as i
+        from (select *, [w[j] * away[j] for j in range(1, len(w) + 1)] as v from chosen, weighed
+              where len(ids) < {most_k}) where list_max(v) > 0)),
+    moves(step, k, m) as (
+      select 0, k, [s[i] for i in ids[:k]]
+      from range({least_k}, {most_k + 1}) as t(k), weighed,
+        (select ids from chosen order by len(ids) desc limit 1)
+      union all
+      select step + 1, k, [coalesce(found[i], m[i]) for i in range(1, len(m) + 1)]
+      from moves join (
+        select k, map_from_entries(list((i, c))) as found
+        from (
+          select k, i, list(x order by j) as c
+          from (
+            select k, i, j, avg(x) as x
+            from (
+              select k, list_position(d, list_min(d)) as i, unnest(e) as x,
+                generate_subscripts(e, 1) as j
+              from (select k, e, [list_distance(c, e) for c in m] as d from moves, points))
+            group by all)
+          group by all)
+        group by k) using (k)
+      where step < {STEPS}),
+    models as (select k, m from moves where step = {STEPS})
+    {tail}"""
+
+
+@query(
+    "kmeans_labels",
+    _kmeans_sql(
+        "select vec_id as key, embedding::double[] as e from embeddings",
+        8,
+        8,
+        """, labelled as (
+      select key, list_position(d, list_min(d)) as i
+      from (select key, [list_distance(c, e) for c in m] as d from points, models))
+    select key as vec_id, (dense_rank() over (order by first) - 1)::int as cluster
+    from (select key, min(key) over (partition by i) as first from labelled)""",
+    ),
+)
 def kmeans_labels(spark, sf):
     return kmeans(_space(spark, sf), "vec_id", _E, 8).select("vec_id", "cluster")
 
 
-@query("elbow_table")
+@query(
+    "elbow_table",
+    _kmeans_sql(
+        "select vec_id as key, embedding::double[] as e from embeddings",
+        1,
+        24,
+        f"""select k::int as k, {rnd('sum(d ** 2)', 6)} as inertia
+    from (select k, list_min([list_distance(c, e) for c in m]) as d from points, models)
+    group by 1""",
+    ),
+)
 def elbow_table(spark, sf):
-    return elbow(_space(spark, sf), _E, 24)
+    return rounded(elbow(_space(spark, sf), "vec_id", _E, 24), 6, "inertia")
 
 
 # Powers of a matrix by repeated squaring leave its first axis; taking that out leaves the second.

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.boxes import point_regions
 from tallyframe.operators.dbscan import dbscan
-from tallyframe.operators.features import elbow, kmeans, principal_pair, standardise
+from tallyframe.operators.features import principal_pair, standardise
 from tallyframe.operators.graph import components
+from tallyframe.operators.kmeans import elbow, kmeans, nearest
 from tallyframe.operators.linkage import linkage
 
 EPS, MIN_SAMPLES = 0.25, 10
@@ -168,12 +169,44 @@ def test_kmeans_and_elbow(blobs):
     points, df = blobs
     found = kmeans(df, "id", ["x", "y", "z"], 3).collect()
     assert {r.id: r.cluster for r in found} == {i: i // 20 for i in range(60)}
-    costs = {r.k: r.inertia for r in elbow(df, ["x", "y", "z"], 4).collect()}
+    costs = {r.k: r.inertia for r in elbow(df, "id", ["x", "y", "z"], 4).collect()}
     assert costs[1] == pytest.approx(((points - points.mean(0)) ** 2).sum())
     within = sum(((p - p.mean(0)) ** 2).sum() for p in points.reshape(3, 20, 3))
     assert costs[3] == pytest.approx(within)
 
 
+def test_kmeans_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in p], "t") for i, p in enumerate(rng.normal(size=(200, 4)))]
+    rows += [(900, None, "t"), (901, [1.0, None, 0.0, 0.0], "t"), (902, [float("nan")] * 4, "t")]
+    df = spark.createDataFrame(rows, "id long, at array<double>, x string")
+
+    def labels(parts):
+        found = kmeans(df.repartition(parts), "id", "at", 5)
+        assert found.columns == ["id", "at", "x", "cluster"]
+        return {r.id: r.cluster for r in found.collect()}
+
+    one = labels(1)
+    assert one == labels(7)
+    assert {one[900], one[901], one[902]} == {None} and set(one.values()) == {None, *range(5)}
+    costs = [r.inertia for r in elbow(df, "id", "at", 6).orderBy("k").collect()]
+    assert len(costs) == 6 and costs == sorted(costs, reverse=True)
+
+
+def test_kmeans_of_few_points_and_none(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 5.0)], "id long, a double")
+    assert {r.id: r.cluster for r in kmeans(df, "id", ["a"], 4).collect()} == {1: 0, 2: 0, 3: 1}
+    assert [r.inertia for r in elbow(df, "id", ["a"], 3).orderBy("k").collect()] == [6.0, 0.0, 0.0]
+    assert kmeans(df.limit(0), "id", ["a"], 2).collect() == []
+    assert elbow(df.limit(0), "id", ["a"], 2).collect() == []
+
+
+def test_nearest_takes_the_first_of_equally_near_centres():
+    x = np.array([[0.5, 0.0], [1e8 + 0.5, 0.0]])
+    centres = np.array([[1.0, 0.0], [0.0, 0.0], [1e8 + 1, 0.0], [1e8, 0.0]])
+    assert nearest(x, centres)[0].tolist() == [0, 2]
+
+
 def test_principal_components(blobs):
     points, df = blobs
     centred = points - points.mean(0)
