@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import percent
 from tallyframe.operators.order_stats import keys_present, order_stats, same_keys
+from tallyframe.operators.profile import profile
 from tallyframe.operators.ranges import ROWS_PER_BUCKET
 
 _ONE_PASS = {
@@ -119,34 +120,20 @@ def table_stats(
     others: list[str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Whole-table statistics, one row per column; texts have no mean, deviation or median."""
-    every = [*numbers, *others]
-    row = df.agg(
-        *[stat("count", c) for c in every],
-        *[stat(s, c) for c in numbers for s in ("std", "mean")],
-        *[F.min(c).cast("string").alias(f"{c}_min") for c in every],
-        *[F.max(c).cast("string").alias(f"{c}_max") for c in every],
-    )
-    none = F.lit(None).cast("double")
-    # A distinct count on its own scans one column; several at once would multiply the rows.
-    distinct = {c: df.agg(stat("nunique", c)).scalar() for c in every}
-    long = row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        distinct[c].alias("nunique"),
-                        F.col(f"{c}_count").alias("count"),
-                        (F.col(f"{c}_std") if c in numbers else none).alias("std"),
-                        (F.col(f"{c}_mean") if c in numbers else none).alias("mean"),
-                        F.col(f"{c}_min").alias("min"),
-                        F.col(f"{c}_max").alias("max"),
-                    )
-                    for c in every
-                ]
-            )
-        )
+    """Whole-table statistics, one row per column; texts have no mean, deviation or median.
+
+    All but median and mean deviation come from one scan (``profile``).
+    """
+    rows = profile(df, [*numbers, *others])
+    number = F.col("column").isin(*numbers)
+    long = rows.select(
+        "column",
+        F.col("distinct").alias("nunique"),
+        (F.col("rows") - F.col("nulls")).alias("count"),
+        "std",
+        "mean",
+        F.when(number, F.col("low").cast("string")).otherwise(F.col("first")).alias("min"),
+        F.when(number, F.col("high").cast("string")).otherwise(F.col("last")).alias("max"),
     )
     ordered = order_stats(df, [[]], numbers, {"median": 0.5}, True, rows_per_bucket)
     return long.join(ordered.drop("set_bits"), "column", "left")
@@ -228,33 +215,15 @@ def pivot_single(df: DataFrame, key: str, column: str, values: list, cell: str)
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: number of distinct values, a missing one counting as a value, and empties."""
-    row = df.agg(
-        *[
-            (F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("bigint")), F.lit(0)))
-            .alias(f"{c}_distinct")
-            for c in columns
-        ],
-        *[
-            F.coalesce(F.max((F.col(c).cast("string") == "").cast("bigint")), F.lit(0)).alias(
-                f"{c}_empty"
-            )
-            for c in columns
-        ],
-    )
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(f"{c}_distinct").alias("distinct_values"),
-                        F.col(f"{c}_empty").alias("has_empty"),
-                    )
-                    for c in columns
-                ]
-            )
-        )
+    """Per column: number of distinct values, a missing one counting as a value, and empties.
+
+    One scan (``profile``); an empty text is the smallest text of its column.
+    """
+    rows = profile(df, columns)
+    return rows.select(
+        "column",
+        (F.col("distinct") + (F.col("nulls") > 0).cast("bigint")).alias("distinct_values"),
+        F.coalesce((F.col("first") == "").cast("bigint"), F.lit(0)).alias("has_empty"),
     )
 
 

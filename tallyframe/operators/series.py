@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import joined_key, or_other_if_empty
 from tallyframe.operators.aggregates import match_rate
+from tallyframe.session import cut_lineage
 
 
 def with_location(df: DataFrame, parent: str, child: str, name: str = "location") -> DataFrame:
@@ -71,58 +72,121 @@ def match_rates(check: DataFrame, measures: list[str]) -> DataFrame:
     )
 
 
+def _number(df: DataFrame, date: str) -> Column:
+    """A date, time stamp or number as a whole number; rows without one come before all others."""
+    kind = dict(df.dtypes)[date]
+    if kind == "date":
+        value = F.unix_date(date)
+    elif kind.startswith("timestamp"):
+        value = F.unix_micros(F.col(date).cast("timestamp"))
+    else:
+        value = F.col(date)
+    return F.coalesce(value.cast("bigint"), F.lit(-(1 << 62)))
+
+
+def _scan(df: DataFrame, keys: list[str], date: str, measures: list[str]) -> DataFrame:
+    """Running maxima, and the maxima and the date before the row's own date, within ``keys``.
+
+    Rows of one date are peers: they share the maximum that includes all of them, and the
+    predecessor that none of them is.
+    """
+    order = W.partitionBy(*keys).orderBy("__at")
+    so_far = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    before = order.rangeBetween(W.unboundedPreceding, -1)
+    return df.withColumn("__at", _number(df, date)).withColumns(
+        {
+            **{f"__run_{m}": F.max(m).over(so_far) for m in measures},
+            **{f"prev_{m}": F.max(m).over(before) for m in measures},
+            "prev_date": F.max(date).over(before),
+        }
+    )
+
+
+def _carried(ticks: DataFrame, entity: list[str], date: str, measures: list[str]) -> DataFrame:
+    """``_scan`` per entity in two levels: within ``__chunk``, and over the chunks' totals.
+
+    Chunks follow each other in time, and no date lies in two of them. Each chunk of an entity is
+    a unit of work of its own; only one row per chunk is carried forward.
+    """
+    across = W.partitionBy(*entity).orderBy("__chunk")
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    totals = (
+        ticks.groupBy(*entity, "__chunk")
+        .agg(F.max(date).alias("__end"), *[F.max(m).alias(f"__max_{m}") for m in measures])
+        .select(
+            *[F.col(c).alias(f"__of_{c}") for c in entity],
+            F.col("__chunk").alias("__of_chunk"),
+            F.max("__end").over(earlier).alias("__prev_end"),
+            *[F.max(f"__max_{m}").over(earlier).alias(f"__carry_{m}") for m in measures],
+        )
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in entity]
+    run = _scan(ticks, [*entity, "__chunk"], date, measures).join(
+        totals, reduce(lambda a, b: a & b, same, F.col("__chunk").eqNullSafe(F.col("__of_chunk")))
+    )
+    carried = {f"__run_{m}": F.greatest(f"__run_{m}", f"__carry_{m}") for m in measures}
+    carried |= {f"prev_{m}": F.greatest(f"prev_{m}", f"__carry_{m}") for m in measures}
+    carried["prev_date"] = F.coalesce("prev_date", "__prev_end")
+    dropped = [f"__of_{c}" for c in entity] + [f"__carry_{m}" for m in measures]
+    return run.withColumns(carried).drop(*dropped, "__of_chunk", "__prev_end")
+
+
+def _ticks(
+    df: DataFrame, entity: list[str], date: str, measures: list[str], rows_per_chunk: int
+) -> DataFrame:
+    """One row per entity and date, cut into chunks by ranges of (entity, date).
+
+    The number of ranges follows from the counted rows, and Spark cuts them from samples of all
+    rows, so an entity takes as many chunks as its rows fill. Written once, so that a lost
+    executor cannot move a cut.
+    """
+    ticks = cut_lineage(
+        df.groupBy(*entity, date).agg(*[F.max(m).alias(m) for m in measures]), "ticks"
+    )
+    parts = max(-(-ticks.count() // rows_per_chunk), 1)
+    placed = ticks.withColumn("__at", _number(ticks, date)).repartitionByRange(
+        parts, *entity, "__at"
+    )
+    return cut_lineage(placed.drop("__at").withColumn("__chunk", F.spark_partition_id()), "ranges")
+
+
 def prepare_series(
     df: DataFrame,
     entity: list[str],
     date: str,
     measures: list[str],
     chunk: Column | None = None,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Forced cumulative series with logs, previous values, changes and the gap in days.
 
     For a measure ``m``: ``m`` becomes its running maximum, then ``log_m``, ``prev_m``,
-    ``prev_log_m``, ``delta_m`` and ``delta_log_m``; also ``prev_date`` and ``gap_days``. The
-    first row of an entity is its own predecessor.
+    ``prev_log_m``, ``delta_m`` and ``delta_log_m``; also ``prev_date`` and ``gap_days``. Rows of an
+    entity with the same date are peers: all have the maximum up to and including that date, and
+    the same predecessor, the last earlier date. The first date of an entity is its own
+    predecessor. A row without a date comes before all dates. Null measures are passed over.
 
     With one row per entity and day, an entity has no more rows than the calendar has days and
-    the work is one shuffle. For finer time stamps pass ``chunk``, an expression that grows with
-    the date (such as its day or month): each chunk of an entity is then a unit of work of its
-    own and only chunk totals are carried forward, so one busy entity is spread over many tasks.
+    the work is one shuffle. For finer time stamps pass ``rows_per_chunk``: rows shrink to one per
+    entity and date, are cut into ranges of about that many, scanned within their range and
+    across the ranges' totals, and joined back; a busy entity, or a busy date, is spread over
+    many tasks. Where the caller knows a good cut, ``chunk`` (an expression that grows with the
+    date, such as its day) does without that pass and the join.
     """
-    if chunk is None:
-        ordered = W.partitionBy(*entity).orderBy(date)
-        so_far = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-        run = df.withColumns({m: F.max(m).over(so_far) for m in measures})
-        # previous of the running maximum, without a second window stage
-        before = {f"prev_{m}": F.lag(m).over(ordered) for m in measures}
-        return _changes(run.withColumns({**before, "prev_date": F.lag(date).over(ordered)}),
-                        date, measures)
-
-    cells = df.withColumn("__chunk", chunk)
-    inside = W.partitionBy(*entity, "__chunk").orderBy(date)
-    so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    across = W.partitionBy(*entity).orderBy("__chunk")
-    earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    totals = (
-        cells.groupBy(*entity, "__chunk")
-        .agg(F.max(date).alias("__end"), *[F.max(m).alias(f"__max_{m}") for m in measures])
-        .select(
-            *entity,
-            "__chunk",
-            F.lag("__end").over(across).alias("__prev_end"),
-            *[F.max(f"__max_{m}").over(earlier).alias(f"__carry_{m}") for m in measures],
-        )
-    )
-    # The join hashes on the chunk too, which the window below then needs no shuffle for.
-    run = cells.join(totals, [*entity, "__chunk"]).withColumns(
-        {m: F.greatest(F.max(m).over(so_far), f"__carry_{m}") for m in measures}
-    )
-    before = {
-        f"prev_{m}": F.coalesce(F.lag(m).over(inside), F.col(f"__carry_{m}")) for m in measures
-    }
-    before["prev_date"] = F.coalesce(F.lag(date).over(inside), F.col("__prev_end"))
-    dropped = ["__chunk", "__prev_end", *[f"__carry_{m}" for m in measures]]
-    return _changes(run.withColumns(before).drop(*dropped), date, measures)
+    if rows_per_chunk is not None:
+        scanned = _carried(_ticks(df, entity, date, measures, rows_per_chunk), entity, date, measures)
+        keys = [*entity, date]
+        new = [f"__run_{m}" for m in measures] + [f"prev_{m}" for m in measures] + ["prev_date"]
+        found = scanned.select(*[F.col(c).alias(f"__of_{c}") for c in keys], *new)
+        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]
+        run = df.join(found, reduce(lambda a, b: a & b, same)).drop(*[f"__of_{c}" for c in keys])
+    elif chunk is not None:
+        run = _carried(df.withColumn("__chunk", chunk), entity, date, measures)
+    else:
+        run = _scan(df, entity, date, measures)
+    run = run.withColumns({m: F.col(f"__run_{m}") for m in measures})
+    run = run.drop("__at", "__chunk", *[f"__run_{m}" for m in measures])
+    return _changes(run, date, measures)
 
 
 def _changes(df: DataFrame, date: str, measures: list[str]) -> DataFrame:

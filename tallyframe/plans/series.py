@@ -144,6 +144,36 @@ def series_prepare_by_chunk(spark, sf):
     return rounded(out.drop("ts", "prev_date"), 6, *_FINE)
 
 
+@query(
+    "series_prepare_ties",
+    f"""
+    with rows as (
+      select event_id, case when user_id % 3 = 0 then 'busy' else event_type end as entity,
+             date_trunc('hour', ts) as tick, value from events),
+    ticks as (select entity, tick, max(value) as value from rows group by all),
+    scanned as ({_prepared_sql('ticks', 'entity', 'tick', ['value'])})
+    select event_id, entity, epoch_us(tick)::bigint as at, epoch_us(prev_date)::bigint as prev_at,
+           gap_days, {', '.join(f'{rnd(f"scanned.{v}", 6)} as {v}' for v in _FINE)}
+    from rows join scanned using (entity, tick)""",
+)
+def series_prepare_ties(spark, sf):
+    """Many events of one hour, and an entity that holds a third of all of them."""
+    busy = F.when(F.col("user_id") % 3 == 0, F.lit("busy")).otherwise(F.col("event_type"))
+    events = table(spark, sf, "events").select(
+        "event_id",
+        busy.alias("entity"),
+        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at"),
+        "value",
+    )
+    out = prepare_series(events, ["entity"], "at", ["value"], rows_per_chunk=1_000)
+    micros = {
+        "prev_at": F.unix_micros("prev_date"),
+        "at": F.unix_micros("at"),
+        "gap_days": F.col("gap_days").cast("bigint"),
+    }
+    return rounded(out.withColumns(micros).drop("prev_date"), 6, *_FINE)
+
+
 @query(
     "date_gap_counts",
     DAILY

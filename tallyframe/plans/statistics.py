@@ -16,6 +16,7 @@ from tallyframe.operators.aggregates import (
     pivot_single,
     table_stats,
 )
+from tallyframe.operators.profile import profile
 from tallyframe.plans.registry import query, rnd, rounded
 from tallyframe.sources.tables import table
 
@@ -135,6 +136,7 @@ def _whole_sql(c: str) -> str:
     select '{c}' as "column", count(distinct {c}) as nunique, count({c}) as count,
            {rnd(f'stddev_samp({c})', 4)} as std, {rnd(f'avg({c})', 4)} as mean,
            min({c})::double as low, max({c})::double as high,
+           null::varchar as first, null::varchar as last,
            {rnd(f'quantile_cont({c}::double, 0.5)', 4)} as median,
            {rnd(f'avg(abs({c} - (select avg({c}) from lineitem)))', 4)} as mad
     from lineitem"""
@@ -146,7 +148,7 @@ def _whole_sql(c: str) -> str:
     + """
     union all
     select 'l_returnflag', count(distinct l_returnflag), count(l_returnflag), null, null,
-           null, null, null, null from lineitem""",
+           null, null, min(l_returnflag), max(l_returnflag), null, null from lineitem""",
 )
 def whole_table_stats(spark, sf):
     out = table_stats(
@@ -156,11 +158,38 @@ def whole_table_stats(spark, sf):
         "column", "nunique", "count", "std", "mean",
         F.col("min").try_cast("double").alias("low"),
         F.col("max").try_cast("double").alias("high"),
+        F.when(F.col("mean").isNull(), F.col("min")).alias("first"),
+        F.when(F.col("mean").isNull(), F.col("max")).alias("last"),
         "median", "mad",
     )
     return rounded(out, 4, "std", "mean", "median", "mad")
 
 
+_DOC_TEXTS, _DOC_NUMBERS = ["text", "lang", "source"], ["doc_id", "n_chars"]
+
+
+@query(
+    "table_profile",
+    " union all ".join(
+        f"""
+    select '{c}' as "column", count(*) as rows, count(*) - count({c}) as nulls,
+           count(distinct {c}) as "distinct", {moments}, {ends} from documents"""
+        for c, moments, ends in [
+            *[(c, "null::double as mean, null::double as std, null::double as low, "
+               "null::double as high", f'min({c}) as "first", max({c}) as "last"')
+              for c in _DOC_TEXTS],
+            *[(c, f"{rnd(f'avg({c})', 4)} as mean, {rnd(f'stddev_samp({c})', 4)} as std, "
+               f"min({c})::double as low, max({c})::double as high",
+               'null::varchar as "first", null::varchar as "last"') for c in _DOC_NUMBERS],
+        ]
+    ),
+)
+def table_profile(spark, sf):
+    """Every column of the documents in one scan, with the smallest and the largest text."""
+    out = profile(table(spark, sf, "documents"), [*_DOC_TEXTS, *_DOC_NUMBERS])
+    return rounded(out, 4, "mean", "std")
+
+
 @query(
     "describe_exact",
     " union all ".join(
