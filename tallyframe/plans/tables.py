@@ -195,6 +195,44 @@ def csv_missing_tokens(spark, sf):
     return read_csv(spark, path, schema)
 
 
+_TYPES = (
+    "order_key:bigint price:double ship_day:date priority:string rank:bigint half:double "
+    "mixed:string huge:double never:string"
+)
+
+
+@query(
+    "csv_inferred_types",
+    f"""
+    select o_orderkey as order_key, o_totalprice as price, o_orderdate::date::varchar as ship_day,
+           o_orderpriority as priority,
+           case when o_orderkey % 7 <> 0 then o_custkey end as rank, o_orderkey / 2.0::double as half,
+           case when o_orderkey % 100 = 1 then 'x' else o_custkey::varchar end as mixed,
+           o_orderkey * 1e19::double as huge, null::varchar as never, '{_TYPES}' as types
+    from orders""",
+)
+def csv_inferred_types(spark, sf):
+    """A written file read without a schema; the types come from all its rows."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    whole = (key / 2).cast("decimal(20,1)").cast("string")
+    out = table(spark, sf, "orders").select(
+        key.alias("order_key"),
+        F.col("o_totalprice").alias("price"),
+        F.to_date("o_orderdate").cast("string").alias("ship_day"),
+        F.col("o_orderpriority").alias("priority"),
+        F.when(key % 7 == 0, "N/A").otherwise(customer).alias("rank"),
+        F.when(key % 2 == 0, (key / 2).cast("bigint").cast("string")).otherwise(whole).alias("half"),
+        F.when(key % 100 == 1, "x").otherwise(customer).alias("mixed"),
+        F.concat(key.cast("string"), F.lit("0" * 19)).alias("huge"),
+        F.lit("NA").alias("never"),
+    )
+    path = shared_path(spark, "orders-csv")
+    write_csv(out, path)
+    back = read_csv(spark, path, line_breaks=False)
+    types = " ".join(f"{n}:{t}" for n, t in back.dtypes)
+    return back.withColumns({"types": F.lit(types), "ship_day": F.col("ship_day").cast("string")})
+
+
 @query(
     "flag_when_otherwise",
     """
