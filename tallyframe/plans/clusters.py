@@ -13,6 +13,8 @@ from tallyframe.operators.kmeans import OVERSAMPLE, ROUNDS, STEPS, elbow, kmeans
 from tallyframe.operators.linkage import linkage
 from tallyframe.plans.registry import query, rnd, rounded
 from tallyframe.plans.series import FEATURES, clean, entity_features
+from tallyframe.session import shared_path
+from tallyframe.sources.image_files import crop_files, image_table, replace_images
 from tallyframe.sources.images import crop_pixels, to_grey
 from tallyframe.sources.tables import staged, table
 
@@ -572,3 +574,88 @@ def image_crop_grey(spark, sf):
     )
     grey = to_grey(crop_pixels(images, rects))
     return grey.select("image_id", "width", "height", F.hex("data").alias("grey"))
+
+
+_BYTES = """
+    with recursive bytes as (
+      select vec_id, label,
+             [least(255, floor(abs(v::double) * 1000))::int for v in embedding] as b
+      from embeddings)"""
+
+
+@query(
+    "image_files_to_crops",
+    f"""{_BYTES},
+    marked as (
+      select vec_id, key, key % 8 as x, key // 8 as y
+      from (select vec_id, b, unnest(range(64)) as key from bytes where vec_id % 9 <> 4)
+      where b[key + 1] >= 150),
+    reach(vec_id, root, key) as (
+      select vec_id, key, key from marked
+      union
+      select r.vec_id, r.root, m.key from reach r
+      join marked c on c.vec_id = r.vec_id and c.key = r.key
+      join marked m on m.vec_id = c.vec_id and abs(m.x - c.x) + abs(m.y - c.y) = 1),
+    named as (select vec_id, key, min(root) as cluster from reach group by all),
+    boxes as (
+      select vec_id, cluster, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1
+      from named join marked using (vec_id, key) group by all)
+    select vec_id, cluster, x0::int as "left", y0::int as top, (x1 - x0 + 1)::int as width,
+           (y1 - y0 + 1)::int as height,
+           array_to_string([printf('%02X', b[i + 1]) for i in range(64)
+                            if i % 8 between x0 and x1 and i // 8 between y0 and y1], '') as grey,
+           null::varchar as reason
+    from boxes join bytes using (vec_id)
+    union all
+    select vec_id, null, null, null, null, null, null, 'unknown format'
+    from bytes where vec_id % 9 = 4""",
+)
+def image_files_to_crops(spark, sf):
+    """Vectors written as image files, some of them unreadable, and what is bright cut out of them."""
+    level = F.transform(
+        "embedding",
+        lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1000).cast("int")),
+    )
+    start = F.when(F.col("vec_id") % 9 == 4, "??").otherwise("P2")
+    text = F.concat(start, F.lit("\n8 8\n255\n"), F.array_join(level, " "))
+    files = table(spark, sf, "embeddings").select("vec_id", text.alias("value"))
+    path = shared_path(spark, "image-files")
+    files.write.partitionBy("vec_id").text(path)
+    crops, unread = crop_files(spark, path, 150)
+    number = F.regexp_extract("image_id", r"vec_id=(\d+)", 1).cast("bigint").alias("vec_id")
+    shown = crops.select(
+        number, "cluster", "left", "top", "width", "height", F.hex("data").alias("grey")
+    )
+    return shown.unionByName(unread.select(number, "reason"), allowMissingColumns=True)
+
+
+@query(
+    "image_run_replaces_its_own",
+    f"""{_BYTES}
+    select vec_id::varchar as image_id, case when label < 5 then 'second' else 'first' end as run,
+           array_to_string([printf('%02X', case when label < 5 then 255 - x else x end) for x in b],
+                           '') as pixels
+    from bytes where label <> 3""",
+)
+def image_run_replaces_its_own(spark, sf):
+    """A second run brings some images anew and has lost others; the rest of the table stays."""
+    level = F.transform(
+        "embedding",
+        lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1000).cast("int")),
+    )
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("image_id"), "label", level.alias("b")
+    )
+
+    def run(rows, name, value):
+        digits = F.transform("b", lambda x: F.lpad(F.hex(value(x).cast("bigint")), 2, "0"))
+        return rows.select(
+            "image_id", F.lit(name).alias("run"), F.unhex(F.array_join(digits, "")).alias("data")
+        )
+
+    path = shared_path(spark, "image-table")
+    replace_images(run(e, "first", lambda x: x), path, slots=16)
+    again = e.filter("label < 5")
+    second = run(again.filter("label <> 3"), "second", lambda x: 255 - x)
+    replace_images(second, path, again, slots=16)
+    return image_table(spark, path).select("image_id", "run", F.hex("data").alias("pixels"))
