@@ -27,16 +27,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .groupBy("a")
             .agg(F.min("label").alias("heard"))
         )
-        closer = cut_lineage(
-            labels.join(heard, F.col("node") == F.col("a"), "left").select(
-                "node", F.col("label").alias("old"), F.least("label", "heard").alias("via")
-            )
+        closer = labels.join(heard, F.col("node") == F.col("a"), "left").select(
+            "node", F.col("label").alias("old"), F.least("label", "heard").alias("via")
         )
         passed = closer.groupBy(F.col("old").alias("to")).agg(F.min("via").alias("passed"))
-        closer = cut_lineage(
-            closer.join(passed, F.col("node") == F.col("to"), "left").select(
-                "node", "old", F.least("via", "passed").alias("via")
-            )
+        closer = closer.join(passed, F.col("node") == F.col("to"), "left").select(
+            "node", "old", F.least("via", "passed").alias("via")
         )
         roots = closer.select(F.col("node").alias("root"), F.col("via").alias("of_root"))
         jumped = cut_lineage(
