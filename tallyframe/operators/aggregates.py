@@ -214,6 +214,48 @@ def pivot_single(df: DataFrame, key: str, column: str, values: list, cell: str)
     return df.groupBy(key).pivot(column, values).agg(one)
 
 
+def wide_matrix(
+    df: DataFrame, key: str, column: str, value: str, block: int = 256, prefix: str = ""
+) -> DataFrame:
+    """One row per key and one column per value of ``column``, in their order, however many.
+
+    The values of ``column`` become numbers, and ``block`` numbers in turn a block: cells are put
+    together per key and block, and blocks per key, so no task and no expression holds more than a
+    block until a row is complete; the result only picks the row's entries by number. The list of
+    column values comes to the driver, as it names the columns. A key without a cell there has
+    null; two rows for one cell are an error; rows with a null ``column`` have no cell.
+    """
+    known = df.filter(F.col(column).isNotNull())
+    values = known.select(column).distinct().orderBy(column)
+    names = [r[0] for r in values.select(F.col(column).cast("string")).collect()]
+    spark = df.sparkSession
+    places = spark.createDataFrame(list(enumerate(names)), "__at int, __name string")
+    cells = known.select(
+        F.col(key).alias("__key"), F.col(column).cast("string").alias("__name"), F.col(value).alias("__value")
+    ).join(places, "__name")
+    entry = F.struct(F.col("__at") % block, "__value")
+    parts = cells.groupBy("__key", F.floor(F.col("__at") / block).alias("__block")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("__cells")
+    )
+    every = F.sequence(F.lit(0), F.lit(block - 1))
+    parts = parts.select(
+        "__key", "__block", F.transform(every, lambda i: F.try_element_at("__cells", i)).alias("__cells")
+    )
+    blocks = parts.groupBy("__key").agg(
+        F.map_from_entries(F.collect_list(F.struct("__block", "__cells"))).alias("__blocks")
+    )
+    keys = df.select(F.col(key).alias("__key")).distinct()
+    rows = keys.join(blocks, keys["__key"].eqNullSafe(blocks["__key"]), "left").select(
+        keys["__key"], "__blocks"
+    )
+
+    def cell(at: int) -> Column:
+        of_block = F.try_element_at("__blocks", F.lit(at // block).cast("bigint"))
+        return F.get(of_block, F.lit(at % block)).alias(f"{prefix}{names[at]}")
+
+    return rows.select(F.col("__key").alias(key), *[cell(i) for i in range(len(names))])
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: number of distinct values, a missing one counting as a value, and empties.
 

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.dates import day_text
 from tallyframe.operators.aggregates import members_list
 from tallyframe.operators.boxes import cluster_boxes, crop_rects, point_regions
 from tallyframe.operators.dbscan import dbscan
 from tallyframe.operators.density import dbscan_space
+from tallyframe.operators.forecast import forecast
 from tallyframe.operators.features import principal_pair, standardise
 from tallyframe.operators.kmeans import OVERSAMPLE, ROUNDS, STEPS, elbow, kmeans
 from tallyframe.operators.linkage import linkage
 from tallyframe.plans.registry import query, rnd, rounded
-from tallyframe.plans.series import FEATURES, clean, entity_features
+from tallyframe.plans.series import (
+    DECAY,
+    FEATURES,
+    GROWTH,
+    chosen,
+    clean,
+    entity_features,
+    whole_series,
+)
 from tallyframe.session import shared_path
 from tallyframe.sources.image_files import crop_files, image_table, replace_images
 from tallyframe.sources.images import crop_pixels, to_grey
@@ -434,8 +444,7 @@ def regions(spark, sf):
 _NAMES = ["growth", "change", "cases", "loss_growth", "loss_change", "losses"]
 
 
-@query(
-    "entity_ward_clusters",
+_ENTITY_WARD = (
     FEATURES.replace("with per_day", "with recursive per_day", 1)
     + f"""
     , scaled as (
@@ -453,8 +462,11 @@ _NAMES = ["growth", "change", "cases", "loss_growth", "loss_change", "losses"]
                 for i in range(1, len(p.a.c) + 1)]}})
       from (select clusters, {_WARD_PAIR} as p from steps where len(clusters) > 8))
     select x.id as cluster, unnest(x.ids) as user_id
-    from (select unnest(clusters) as x from steps where len(clusters) = 8)""",
+    from (select unnest(clusters) as x from steps where len(clusters) = 8)"""
 )
+
+
+@query("entity_ward_clusters", _ENTITY_WARD)
 def entity_ward_clusters(spark, sf):
     """Users clustered by Ward's linkage of their standardised growth features."""
     features = staged(entity_features(clean(spark, sf)), "features")
@@ -462,7 +474,109 @@ def entity_ward_clusters(spark, sf):
     return labelled.select("cluster", "user_id")
 
 
-@query("entity_clusters")
+# Ward clusters of the users, their growth, the larger of own and cluster's, and the forecast.
+_CHAIN = (
+    FEATURES.replace("with per_day", "with recursive per_day", 1)
+    + f"""
+    , scaled as (
+      select user_id, {', '.join(
+          f"case when stddev_pop({c}) over () > 0 then "
+          f"({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as {c}"
+          for c in _NAMES)} from features),
+    steps(clusters) as (
+      select list({{'id': user_id, 'ids': [user_id], 'n': 1.0::double,
+                    'c': [{', '.join(_NAMES)}]}} order by user_id) from scaled
+      union all
+      select list_append({_OTHERS},
+        {{'id': p.a.id, 'ids': p.a.ids || p.b.ids, 'n': p.a.n + p.b.n,
+          'c': [(p.a.c[i] * p.a.n + p.b.c[i] * p.b.n) / (p.a.n + p.b.n)
+                for i in range(1, len(p.a.c) + 1)]}})
+      from (select clusters, {_WARD_PAIR} as p from steps where len(clusters) > 8)),
+    wards as (
+      select x.id as ward, unnest(x.ids) as user_id
+      from (select unnest(clusters) as x from steps where len(clusters) = 8)),
+    labelled as (select clean.*, ward as cluster from clean join wards using (user_id) where losses > 0)
+    """
+    + ", " + GROWTH[GROWTH.index("products as") :]
+    + """
+    , whole as (
+      select user_id, day, ln(1 + sum(cases)) as log_cases, ln(1 + sum(losses)) as log_losses
+      from (select user_id, day, sum(cents) over w as cases, sum(m) over w as losses
+            from (select user_id, day, sum(cents)::double as cents, sum(m) as m from per_day group by all)
+            window w as (partition by user_id order by day))
+      group by all),
+    ends as (
+      select * from (
+        select * from whole qualify row_number() over (partition by user_id order by day desc) = 1),
+        (select max(day) as train_end from whole))
+    """
+)
+
+
+@query(
+    "cluster_growth_forecast",
+    _CHAIN
+    + f"""
+    select user_id, cluster, strftime(day + n::int, '%Y-%m-%d') as day,
+           {rnd('e.log_cases + coalesce(c.delta_log_cases, 0) * (1 - pow(0.97, n)) / (1 - 0.97)', 6)}
+             as log_cases,
+           {rnd('e.log_losses + coalesce(c.delta_log_losses, 0) * (1 - pow(0.97, n)) / (1 - 0.97)', 6)}
+             as log_losses
+    from (select *, unnest(generate_series(1, 31 + (train_end - day))) as n from ends) e
+    left join chosen c using (user_id)""",
+)
+def cluster_growth_forecast(spark, sf):
+    """Clusters of users, their growth, the choice per user, and every user's forecast from it."""
+    rows = staged(clean(spark, sf), "clean")
+    scaled = staged(standardise(entity_features(rows), _NAMES), "scaled")
+    wards, _ = linkage(scaled, "user_id", _NAMES, "ward", 8)
+    labelled = rows.filter("losses > 0").join(wards.select("user_id", "cluster"), "user_id")
+    growth = staged(chosen(labelled), "growth")
+    history = staged(whole_series(spark, sf).select("user_id", "day", "log_cases", "log_losses"), "history")
+    end = history.agg(F.max("day").alias("end"))
+    ahead = forecast(
+        history,
+        ["user_id"],
+        "day",
+        growth.select("user_id", "delta_log_cases", "delta_log_losses"),
+        {"log_cases": "delta_log_cases", "log_losses": "delta_log_losses"},
+        DECAY,
+        None,
+        F.date_add(end.scalar(), 31),
+    )
+    known = history.select("user_id", "day")
+    out = ahead.join(known, ["user_id", "day"], "left_anti").join(
+        growth.select("user_id", "cluster"), "user_id", "left"
+    )
+    return rounded(out.withColumn("day", day_text(F.col("day"))), 6, "log_cases", "log_losses")
+
+
+@query(
+    "entity_clusters",
+    _kmeans_sql(
+        FEATURES
+        + f"""
+    , scaled as (
+      select user_id, {', '.join(
+          f"case when stddev_pop({c}) over () > 0 then "
+          f"({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end as {c}"
+          for c in _NAMES)} from features)
+    select user_id as key, [{', '.join(_NAMES)}]::double[] as e from scaled""",
+        8,
+        8,
+        f""", labelled as (
+      select key, list_position(d, list_min(d)) as i
+      from (select key, [list_distance(c, e) for c in m] as d from points, models)),
+    numbered as (
+      select key, (dense_rank() over (order by first) - 1)::bigint as cluster
+      from (select key, min(key) over (partition by i) as first from labelled))
+    select 'kmeans' as method, cluster, 0::bigint as part,
+           string_agg(key::varchar, ',' order by key) as members from numbered group by cluster
+    union all
+    select 'ward', cluster, 0::bigint, string_agg(user_id::varchar, ',' order by user_id)
+    from ({_ENTITY_WARD}) group by cluster""",
+    ),
+)
 def entity_clusters(spark, sf):
     """Users clustered by their standardised growth features, both ways, as lists of members."""
     features = staged(entity_features(clean(spark, sf)), "features")

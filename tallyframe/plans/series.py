@@ -432,7 +432,7 @@ def _labelled(spark, sf):
     return rows.withColumn("cluster", F.col("user_id") % 8)
 
 
-def _chosen(labelled):
+def chosen(labelled):
     by_cluster = FC.cluster_growth(labelled, "cluster", "user_id", "day", _LOGS)
     own = FC.own_growth(labelled, "cluster", "user_id", _LOGS)
     return FC.chosen_growth(own, by_cluster, "cluster", _LOGS)
@@ -453,7 +453,7 @@ def product_std_mean_chain(spark, sf):
     + f"select user_id, cluster, {', '.join(f'{rnd(c, 4)} as {c}' for c in _LOGS)} from chosen",
 )
 def growth_params_choice(spark, sf):
-    return rounded(_chosen(_labelled(spark, sf)), 4, *_LOGS)
+    return rounded(chosen(_labelled(spark, sf)), 4, *_LOGS)
 
 
 FORECAST = (
@@ -474,20 +474,22 @@ growth as (
                coalesce(lag(log_losses) over w, log_losses) as prev_losses
         from series window w as (partition by user_id order by day)) group by 1),
 bounds as (select max(day) as train_end from series),
-last_rows as (select * from series join growth using (user_id), bounds where day = train_end),
-steps as (select unnest(generate_series(1, 31)) as n),
+last_rows as (
+  select * from (
+    select * from series qualify row_number() over (partition by user_id order by day desc) = 1)
+  join growth using (user_id), bounds),
 predicted as (
   select user_id, day, log_cases, log_losses from series
   union all
   select user_id, (day + n::int)::date,
          log_cases + case_growth * (1 - pow(0.97, n)) / (1 - 0.97),
          log_losses + loss_growth * (1 - pow(0.97, n)) / (1 - 0.97)
-  from last_rows, steps)
+  from (select *, unnest(generate_series(1, 31 + (train_end - day))) as n from last_rows))
 """
 )
 
 
-def _series(spark, sf):
+def whole_series(spark, sf):
     """Log cumulative value and count per user and day."""
     so_far = W.partitionBy("user_id").orderBy("day").rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -506,7 +508,7 @@ def _series(spark, sf):
 
 
 def _forecast(spark, sf):
-    series = _series(spark, sf)
+    series = whole_series(spark, sf)
     growth = series.groupBy("user_id").agg(
         F.avg("delta_log_cases").alias("case_growth"),
         F.avg("delta_log_losses").alias("loss_growth"),
@@ -519,7 +521,7 @@ def _forecast(spark, sf):
         growth,
         {"log_cases": "case_growth", "log_losses": "loss_growth"},
         DECAY,
-        end,
+        None,
         F.date_add(end.scalar(), 31),
     )
 
@@ -532,7 +534,7 @@ def _forecast(spark, sf):
            {rnd('log_losses', 6)} as log_losses from predicted""",
 )
 def decay_forecast(spark, sf):
-    """History and 31 days ahead of every user, decayed growth in closed form."""
+    """History and the days up to 31 after the table's last, of every user, in closed form."""
     out = _forecast(spark, sf).withColumn("day", day_text(F.col("day")))
     return rounded(out, 6, "log_cases", "log_losses")
 
@@ -545,12 +547,15 @@ def decay_forecast(spark, sf):
       select user_id * 100 + n as forecast_id, user_id, (train_end - 10 + n::int)::date as day
       from (select distinct user_id from events), bounds,
            (select unnest(generate_series(1, 40)) as n))
-    select forecast_id, {rnd('exp(log_cases) - 1', 3)} as cases,
-           {rnd('exp(log_losses) - 1', 3)} as losses
-    from wanted join predicted using (user_id, day)""",
+    select forecast_id, {rnd('exp(coalesce(log_cases, 0)) - 1', 3)} as cases,
+           {rnd('exp(coalesce(log_losses, 0)) - 1', 3)} as losses
+    from wanted w asof left join predicted p on w.user_id = p.user_id and w.day >= p.day""",
 )
 def forecast_submission(spark, sf):
-    """Forecast counts for the wanted ids: 40 days per user from nine days before the end."""
+    """Counts for every wanted id: 40 days per user from nine days before the end.
+
+    A day without a row has the count of the last one before; before the first row there is none.
+    """
     end = table(spark, sf, "events").agg(F.max(F.to_date("ts")).alias("end"))
     wanted = (
         table(spark, sf, "events")
@@ -563,42 +568,48 @@ def forecast_submission(spark, sf):
             F.date_add(F.date_sub(end.scalar(), 10), F.col("n")).alias("day"),
         )
     )
-    counts = FC.from_logs(_forecast(spark, sf), keep=["user_id"])
-    out = wanted.join(counts, ["user_id", "day"]).select(
-        "forecast_id", F.col("log_cases").alias("cases"), F.col("log_losses").alias("losses")
+    every_day = FC.carried_days(_forecast(spark, sf), ["user_id"], "day")
+    counts = FC.from_logs(every_day, keep=["user_id"])
+    out = wanted.join(counts, ["user_id", "day"], "left").select(
+        "forecast_id",
+        F.coalesce("log_cases", F.lit(0.0)).alias("cases"),
+        F.coalesce("log_losses", F.lit(0.0)).alias("losses"),
     )
     return rounded(out, 3, "cases", "losses")
 
 
+def _first_step_sql(value: str, change: str, threshold: int) -> str:
+    """The first step at which the rounded count is reached: the solved step or a neighbour."""
+    lift = f"(ln(1 + {threshold} - 0.5) - {value})"
+    guess = f"""case when {change} > 0 and 1 - {lift} * (1 - 0.97) / {change} > 0 then
+        ceil(ln(1 - {lift} * (1 - 0.97) / {change}) / ln(0.97)) end"""
+    count = f"exp({value} + {change} * (1 - pow(0.97, n)) / (1 - 0.97)) - 1"
+    return f"""list_min(list_filter([1, g - 2, g - 1, g, g + 1, g + 2],
+        lambda n: n >= 1 and round_even({count}, 0) >= {threshold})) from (select *, {guess} as g"""
+
+
 @query(
     "threshold_dates",
     FORECAST
-    + """
-    , days as (select unnest(generate_series(1, 600)) as n),
-    reached as (
-      select user_id,
-        min(n) filter (round_even(exp(log_cases
-          + case_growth * (1 - pow(0.97, n)) / (1 - 0.97)) - 1, 0) >= 6000) as nc,
-        min(n) filter (round_even(exp(log_losses
-          + loss_growth * (1 - pow(0.97, n)) / (1 - 0.97)) - 1, 0) >= 400) as nl
-      from last_rows, days group by 1)
-    select user_id, strftime(day + nc::int, '%Y-%m-%d') as cases_day,
-           strftime(day + nl::int, '%Y-%m-%d') as losses_day
-    from last_rows left join reached using (user_id)""",
+    + f"""
+    , by_cases as (
+      select user_id, day, {_first_step_sql('log_cases', 'case_growth', 6000)} from last_rows)),
+    by_losses as (
+      select user_id, {_first_step_sql('log_losses', 'loss_growth', 400)} from last_rows))
+    select user_id, strftime(day + c.n::int, '%Y-%m-%d') as cases_day,
+           strftime(day + l.n::int, '%Y-%m-%d') as losses_day
+    from by_cases c(user_id, day, n) join by_losses l(user_id, n) using (user_id)""",
 )
 def threshold_dates(spark, sf):
     """The first day on which each user's forecast reaches 6000 cases, and 400 losses."""
-    series = _series(spark, sf)
+    series = whole_series(spark, sf)
     growth = series.groupBy("user_id").agg(
         F.avg("delta_log_cases").alias("case_growth"),
         F.avg("delta_log_losses").alias("loss_growth"),
     )
-    last = on_last_day(series, "day").join(growth, "user_id")
-    out = FC.threshold_date(
-        last, "day", "log_cases", "case_growth", DECAY, 6000, "cases_day", 600
-    )
-    out = FC.threshold_date(
-        out, "day", "log_losses", "loss_growth", DECAY, 400, "losses_day", 600
-    )
+    last = FC.last_rows_of(series, ["user_id"], "day", ["log_cases", "log_losses"])
+    last = last.join(growth, "user_id")
+    out = FC.threshold_date(last, "day", "log_cases", "case_growth", DECAY, 6000, "cases_day")
+    out = FC.threshold_date(out, "day", "log_losses", "loss_growth", DECAY, 400, "losses_day")
     days = [day_text(F.col(c)).alias(c) for c in ("cases_day", "losses_day")]
     return out.select("user_id", *days)

@@ -13,7 +13,7 @@ from tallyframe.operators.aggregates import (
     members_list,
     multi_stat,
     multi_stat_sets,
-    pivot_single,
+    wide_matrix,
     table_stats,
 )
 from tallyframe.operators.profile import profile
@@ -332,27 +332,20 @@ def stats_long_transpose(spark, sf):
 @query(
     "wide_pivot_first",
     f"""
-    with daily as (
-      select event_type, strftime(ts, '%Y-%m-%d') as day, sum(value) as total
-      from events where ts < timestamp '2024-01-08' group by all)
-    select event_type, {', '.join(
-        f"{rnd(f"max(total) filter (day = '2024-01-0{d}')", 4)} as d{d}" for d in range(1, 8)
-    )}
-    from daily group by 1 order by d7 desc""",
+    select * from (
+      pivot (select event_type, strftime(ts, '%Y-%m-%d') as day, sum(value) as total
+             from events group by all)
+      on day using {rnd('max(total)', 4)} group by event_type)""",
 )
 def wide_pivot_first(spark, sf):
-    """Entities as rows and the days of the first week as columns, by the last of them."""
-    first_week = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
+    """Entities as rows and all days as columns, by the last of them."""
     daily = (
         table(spark, sf, "events")
-        .filter(first_week)
         .groupBy("event_type", day_text(F.col("ts")).alias("day"))
         .agg(F.sum("value").alias("total"))
     )
-    days = [f"2024-01-0{d}" for d in range(1, 8)]
-    wide = pivot_single(daily, "event_type", "day", days, "total")
-    wide = wide.toDF("event_type", *[f"d{d}" for d in range(1, 8)])
-    return rounded(wide, 4, *wide.columns[1:]).orderBy(F.col("d7").desc())
+    wide = wide_matrix(rounded(daily, 4, "total"), "event_type", "day", "total", block=16)
+    return wide.orderBy(F.col(f"`{wide.columns[-1]}`").desc())
 
 
 @query(

@@ -1,5 +1,6 @@
 """Series preparation, growth and forecasts."""
 
+import datetime as dt
 import math
 from datetime import date, timedelta
 
@@ -151,3 +152,28 @@ def test_threshold_is_the_daily_loop(spark, decay):
         assert {r.i: r["at"] for r in out.collect()} == want
     none = FC.threshold_date(rows, "day", "v", "g", decay, None, "at")
     assert none.filter("at is not null").isEmpty()
+
+
+def test_every_entity_is_forecast_from_its_own_last_day(spark):
+    rows = [("a", dt.date(2024, 1, 1), 1.0), ("a", dt.date(2024, 1, 4), 2.0), ("b", dt.date(2024, 1, 2), 5.0)]
+    history = spark.createDataFrame(rows, "e string, day date, v double")
+    growth = spark.createDataFrame([("a", 0.5)], "e string, g double")
+    until = F.lit("2024-01-05").cast("date")
+    out = FC.forecast(history, ["e"], "day", growth, {"v": "g"}, 1, None, until)
+    found = sorted((r.e, r.day.day, r.v) for r in out.collect())
+    assert found == [("a", 1, 1.0), ("a", 4, 2.0), ("a", 5, 2.5), ("b", 2, 5.0), ("b", 3, 5.0),
+                     ("b", 4, 5.0), ("b", 5, 5.0)]
+    filled = FC.carried_days(out, ["e"], "day").filter("e = 'a'")
+    assert sorted((r.day.day, r.v) for r in filled.collect()) == [
+        (1, 1.0), (2, 1.0), (3, 1.0), (4, 2.0), (5, 2.5)
+    ]
+
+
+def test_thresholds_are_looked_for_to_the_end_of_the_calendar(spark):
+    rows = [(0, 0.0, 1e-3), (1, 0.0, 1e-9)]
+    last = spark.createDataFrame(rows, "e int, v double, g double").withColumn(
+        "day", F.lit("2024-01-01").cast("date")
+    )
+    found = FC.threshold_date(last, "day", "v", "g", 1, 100.0, "at").orderBy("e").collect()
+    steps = next(n for n in range(1, 10_000) if round(np.expm1(n * 1e-3)) >= 100)
+    assert found[0].at == dt.date(2024, 1, 1) + dt.timedelta(days=steps) and found[1].at is None

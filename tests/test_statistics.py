@@ -145,3 +145,17 @@ def test_shares_within_groups(table):
 def test_match_rate_with_nulls(spark):
     rows = spark.createDataFrame([(1, 1), (1, None), (None, None), (2, 2)], "a long, b long")
     assert rows.agg(A.match_rate(F.col("a"), F.col("b"))).first()[0] == 0.5
+
+
+def test_wide_matrix(spark):
+    from tallyframe.operators.aggregates import wide_matrix
+
+    rows = [("a", d, float(d)) for d in range(0, 50, 2)] + [("b", 3, 1.5), (None, 49, 2.5), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, d int, v double")
+    days = sorted({r[1] for r in rows if r[1] is not None}, key=int)
+    wide = wide_matrix(df.repartition(3), "k", "d", "v", block=4, prefix="d")
+    assert wide.columns == ["k", *[f"d{d}" for d in days]]
+    found = {r.k: [r[f"d{d}"] for d in days] for r in wide.collect()}
+    cells = {(r[0], r[1]): r[2] for r in rows}
+    assert found == {k: [cells.get((k, d)) for d in days] for k in ("a", "b", None, "c")}
+    assert wide_matrix(df.limit(0), "k", "d", "v").columns == ["k"]
