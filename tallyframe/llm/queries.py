@@ -143,7 +143,9 @@ def trie_toxicity(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = crc32_mod("doc_id", 5) == 0
-    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter("toxic is not null")
+    # one label per document, toxic if any of its labels is
+    labels = table(spark, folder, "labels").filter("toxic is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = docs.join(labels.filter(~held_out), "doc_id").select("text", "toxic")
     terms = learn_lexicon(labelled)
     weights = fit_weights(labelled, terms)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyframe.llm.common import pieces, schema_of, utf8
+from tallyframe.llm.common import pieces, schema_of, without
 
 _LETTERS = re.compile(r"[^\W_]+")
 #: Leet signs read as letters, so that a term with signs inside is still one word.
@@ -57,29 +57,31 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(
     labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", support: int = 5,
-    purity: float = 0.6, most: int = 5000,
+    purity: float = 0.6, bound: int = 2_000_000,
 ) -> list[str]:
-    """Terms of toxic documents: words (ending in "$") and stems, from all labelled rows.
+    """Terms of toxic documents: words (ending in "$") and stems.
 
     A term counts if at least ``support`` toxic documents have it and the lower bound of its
     share of toxic documents (Wilson, 95 %) is at least ``purity``. A stem stands for all words
-    that begin with it, so terms behind a stem that counts are dropped. The lexicon holds the
-    ``most`` terms with the widest support; that bounds the model.
+    that begin with it, so terms behind a stem that counts are dropped. Terms are counted over
+    all labelled rows, or over about ``bound`` of them by hash of the text where there are more,
+    which bounds the lexicon.
     """
+    known = labelled.select(
+        F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").cast("int").alias("l")
+    ).filter("l is not null and t is not null")
+    parts = max(1, -(-known.count() // bound))
+    known = known.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == 0)
     share, z = F.col("toxic") / (F.col("toxic") + F.col("clean")), 1.96
     n = F.col("toxic") + F.col("clean")
     lower = (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (
         1 + z * z / n
     )
     rows = (
-        labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").cast("int").alias("l"))
-        .filter("l is not null and t is not null")
-        .mapInArrow(_term_counts, "term string, clean long, toxic long")
+        known.mapInArrow(_term_counts, "term string, clean long, toxic long")
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter((F.col("toxic") >= support) & (lower >= purity))
-        .orderBy(F.col("toxic").desc(), F.length("term"), "term")
-        .limit(most)
         .collect()
     )
     kept: set[str] = set()
@@ -92,10 +94,10 @@ def learn_lexicon(
 class Lexicon:
     """A trie of terms, searched by the Levenshtein automaton of a word.
 
-    The state of the automaton is a row of edit distances; walking the trie with it visits only
-    prefixes that are within ``edits`` of some prefix of the word. An exact hit is a word of the
-    lexicon or a word behind a stem; a fuzzy hit is within one edit of a whole term of five or
-    more letters (signs read as letters first), or behind a stem of six or more with one edit.
+    A state of the automaton is a place in the word and the edits that are left; the walk runs it
+    along the trie, so of the trie it visits only what some state allows. An exact hit is a word
+    of the lexicon or a word behind a stem; a fuzzy hit is within one edit of a whole term of five
+    or more letters (signs read as letters first), or behind a stem of six or more with one edit.
     """
 
     def __init__(self, terms: list[str]):
@@ -105,23 +107,18 @@ class Lexicon:
             for c in term.removesuffix("$"):
                 node = node.setdefault(c, {})
             node["$" if term.endswith("$") else "*"] = len(term.removesuffix("$"))
+        # each node's children by the letters that may follow them, "" for those where terms end
+        work = [self.root]
+        while work:
+            node = work.pop()
+            after: dict[str, list] = {"": []}
+            for c, child in node.items():
+                if c not in "$*":
+                    work.append(child)
+                    for d in child:
+                        after.setdefault("" if d in "$*" else d, []).append((c, child))
+            node[">"] = after
         self.known: dict[str, int] = {}
-        # an edit leaves one half of a term as it is, in its place or one beside
-        self.heads: set[tuple[int, str]] = set()
-        self.tails: set[tuple[int, str]] = set()
-        for term in terms:
-            t, whole = term.removesuffix("$"), term.endswith("$")
-            if len(t) >= (5 if whole else 6):
-                half = len(t) // 2
-                self.heads.add((half, t[:half]))
-                self.tails.update((half + d, t[half:]) for d in (-1, 0, 1))
-        self.cuts = {h for h, _ in self.heads}
-        self.spans = {(at, len(t)) for at, t in self.tails}
-
-    def near(self, word: str) -> bool:
-        return any((h, word[:h]) in self.heads for h in self.cuts) or any(
-            (at, word[at : at + n]) in self.tails for at, n in self.spans
-        )
 
     def exact(self, word: str) -> bool:
         node = self.root
@@ -134,52 +131,67 @@ class Lexicon:
         return "*" in node or "$" in node
 
     def fuzzy(self, word: str, edits: int = 1) -> bool:
-        if not self.near(word):
-            return False
-        stack = [(self.root, list(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            if row[-1] <= edits and node.get("$", 0) >= 5:
-                return True
-            if min(row) <= edits and node.get("*", 0) >= 6:
+        return self._reaches(self.root, word, 0, edits)
+
+    def _reaches(self, node: dict, word: str, at: int, left: int) -> bool:
+        """Whether a term ends below ``node`` for the rest of the word with at most ``left`` edits."""
+        n = len(word)
+        while True:
+            if node.get("*", 0) >= 6 or (n - at <= left and node.get("$", 0) >= 5):
                 return True
-            for c, child in node.items():
-                if c in "$*":
-                    continue
-                new = [row[0] + 1]
-                for i, own in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (own != c)))
-                if min(new) <= edits:
-                    stack.append((child, new))
-        return False
+            if left:
+                here = word[at] if at < n else None
+                if left > 1:
+                    put = change = [(c, child) for c, child in node.items() if c not in "$*>"]
+                else:  # with the last edit spent, the next letter must follow at once, or a term end
+                    after = node[">"]
+                    put = after[here] + after[""] if here in after else after[""]
+                    then = word[at + 1] if at + 1 < n else None
+                    change = after[then] + after[""] if then in after else after[""]
+                for c, child in change:
+                    if here is not None and c != here:
+                        if self._reaches(child, word, at + 1, left - 1):
+                            return True
+                for _, child in put:
+                    if self._reaches(child, word, at, left - 1):
+                        return True
+                if here is not None and self._reaches(node, word, at + 1, left - 1):
+                    return True
+            if at == n:
+                return False
+            node = node.get(word[at])
+            if node is None:
+                return False
+            at += 1
 
     def grade(self, word: str) -> int:
         """2 for an exact hit, 1 for a misspelled one, else 0."""
-        got = self.known.get(word)
+        plain = word.translate(PLAIN)
+        return 2 if self.exact(word) else 1 if self.exact(plain) or self.fuzzy(plain) else 0
+
+    def of(self, written: str) -> int:
+        """The grade of what stands between two blanks: of it, its parts, or its letters joined."""
+        got = self.known.get(written)
         if got is None:
             if len(self.known) > 500_000:
                 self.known = {}
-            plain = word.translate(PLAIN)
-            got = 2 if self.exact(word) else 1 if self.exact(plain) or self.fuzzy(plain) else 0
-            self.known[word] = got
+            if written.isalnum():
+                parts = {written, *_LETTERS.findall(written)}
+            else:
+                parts = set(_LETTERS.findall(written))
+            got = max(map(self.grade, parts), default=0)
+            if not got and not written.isalnum():
+                joined = "".join(c for c in written.translate(PLAIN) if c.isalnum())
+                got = 1 if joined and self.exact(joined) else 0
+            self.known[written] = got
         return got
 
 
-def _split(text: str) -> list[str]:
-    return text.lower().split()
-
-
 def describe(lexicon: Lexicon, text: str | None, window: int = 5) -> tuple[float, ...]:
     """Features of a text. A hit is quoted if its window has a quotation mark or a reporting word."""
-    words = _split(text) if text else []
+    words = text.lower().split() if text else []
     exact = fuzzy = quoted = 0.0
-    for i, w in enumerate(words):
-        grade = lexicon.grade(w) if w.isalnum() else 0
-        if not grade:
-            grade = max((lexicon.grade(x) for x in _LETTERS.findall(w)), default=0)
-            if not grade and not w.isalnum():
-                joined = "".join(c for c in w.translate(PLAIN) if c.isalnum())
-                grade = 1 if joined and lexicon.exact(joined) else 0
+    for i, grade in enumerate(map(lexicon.of, words)):
         if not grade:
             continue
         near = words[max(0, i - window) : i + window + 1]
@@ -254,9 +266,9 @@ def score_toxicity(
     """Adds the features, ``score`` (0 to 1) and ``predicted`` (1 from 0.5); drops the text.
 
     Null and empty texts have no hits and get the score of such texts. Repeated rows score alike.
-    Columns called like a result column are replaced.
+    Columns called like a result column, in any case, are replaced.
     """
-    keep = [c for c in docs.columns if c not in (text_col, *FEATURES, "score", "predicted")]
+    keep = without(docs, text_col, *FEATURES, "score", "predicted").columns
     ready = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     more = ", ".join(f"{f} double" for f in FEATURES) + ", score double, predicted int"
     schema = schema_of(ready, keep, more)
