@@ -18,6 +18,7 @@ from tallyframe.llm.common import pieces, schema_of, without
 _LETTERS = re.compile(r"[^\W_]+")
 #: Leet signs read as letters, so that a term with signs inside is still one word.
 PLAIN = str.maketrans("013457@$", "oieastas")
+RESERVED = str.maketrans("$*>", "\0\0\0")  # keys of a trie node that are not letters
 QUOTES = "\"'“”„«»‘’"
 #: Words that report what others say.
 REPORTS = frozenset("said says say wrote writes quote quoted quotes called calls told".split())
@@ -122,7 +123,7 @@ class Lexicon:
 
     def exact(self, word: str) -> bool:
         node = self.root
-        for c in word:
+        for c in word.translate(RESERVED):
             if "*" in node:
                 return True
             node = node.get(c)
@@ -131,7 +132,7 @@ class Lexicon:
         return "*" in node or "$" in node
 
     def fuzzy(self, word: str, edits: int = 1) -> bool:
-        return self._reaches(self.root, word, 0, edits)
+        return self._reaches(self.root, word.translate(RESERVED), 0, edits)
 
     def _reaches(self, node: dict, word: str, at: int, left: int) -> bool:
         """Whether a term ends below ``node`` for the rest of the word with at most ``left`` edits."""

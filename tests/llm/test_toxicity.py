@@ -53,6 +53,9 @@ def test_empty_lexicon_and_signs():
     lexicon = Lexicon(["scoundrel$", "vileness"])
     assert [lexicon.of(w) for w in ("scoundrel", "sc0undrel", "s.c.o.u.n.d.r.e.l", "scoundre!", "scound")] == [2, 1, 1, 1, 0]
     assert [lexicon.of(w) for w in ("vilenesses", "v1leness,", "(scoundrel)", "")] == [2, 1, 2, 0]
+    assert [(lexicon.exact(w), lexicon.fuzzy(w)) for w in ("$", "*>", "scoundre>")] == [
+        (False, False), (False, False), (False, True)
+    ]
 
 
 def test_edges(spark):
