@@ -139,14 +139,16 @@ def quality_rules(spark, folder):
 @query("op7_trie_toxicity")
 def trie_toxicity(spark, folder):
     from tallyframe.llm.common import crc32_mod
-    from tallyframe.llm.toxicity import fit_weights, learn_lexicon, score_toxicity
+    from tallyframe.llm.toxicity import (
+        fit_weights,
+        labelled_texts,
+        learn_lexicon,
+        score_toxicity,
+    )
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = crc32_mod("doc_id", 5) == 0
-    # one label per document, toxic if any of its labels is
-    labels = table(spark, folder, "labels").filter("toxic is not null")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.join(labels.filter(~held_out), "doc_id").select("text", "toxic")
+    labelled = labelled_texts(docs, table(spark, folder, "labels").filter(~held_out))
     terms = learn_lexicon(labelled)
     weights = fit_weights(labelled, terms)
     found = score_toxicity(docs, terms, weights)

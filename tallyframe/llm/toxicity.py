@@ -56,23 +56,44 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def labelled_texts(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    bound: int = 200_000,
+) -> DataFrame:
+    """Text and label of labelled documents, of about ``bound`` by hash of the id where there are more.
+
+    An id with several labels is toxic if any of them is. The bound keeps the labels small enough
+    to be broadcast (some 24 bytes each), so no text is shuffled; the lexicon and the weights are
+    fitted on these rows.
+    """
+    known = labels.select(
+        F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias(label_col)
+    ).filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    parts = max(1, -(-known.select(id_col).distinct().count() // bound))
+    few = known.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0)
+    few = few.groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
+    return texts.join(F.broadcast(few), id_col).select(text_col, label_col)
+
+
 def learn_lexicon(
     labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", support: int = 5,
-    purity: float = 0.6, bound: int = 2_000_000,
+    purity: float = 0.6,
 ) -> list[str]:
-    """Terms of toxic documents: words (ending in "$") and stems.
+    """Terms of toxic documents: words (ending in "$") and stems, from all rows given.
 
     A term counts if at least ``support`` toxic documents have it and the lower bound of its
     share of toxic documents (Wilson, 95 %) is at least ``purity``. A stem stands for all words
-    that begin with it, so terms behind a stem that counts are dropped. Terms are counted over
-    all labelled rows, or over about ``bound`` of them by hash of the text where there are more,
-    which bounds the lexicon.
+    that begin with it, so terms behind a stem that counts are dropped. The lexicon comes to the
+    driver; ``labelled_texts`` bounds the rows and with them the lexicon.
     """
     known = labelled.select(
         F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").cast("int").alias("l")
     ).filter("l is not null and t is not null")
-    parts = max(1, -(-known.count() // bound))
-    known = known.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == 0)
     share, z = F.col("toxic") / (F.col("toxic") + F.col("clean")), 1.96
     n = F.col("toxic") + F.col("clean")
     lower = (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (
@@ -108,22 +129,33 @@ class Lexicon:
             for c in term.removesuffix("$"):
                 node = node.setdefault(c, {})
             node["$" if term.endswith("$") else "*"] = len(term.removesuffix("$"))
-        # each node's children by the letters that may follow them, "" for those where terms end
+        # each node's children by the one or two letters that may follow them; "" for those where
+        # a term ends, and one letter where it ends behind that letter
         work = [self.root]
         while work:
             node = work.pop()
             after: dict[str, list] = {"": []}
             for c, child in node.items():
-                if c not in "$*":
-                    work.append(child)
-                    for d in child:
-                        after.setdefault("" if d in "$*" else d, []).append((c, child))
+                if c in "$*":
+                    continue
+                work.append(child)
+                for d, grandchild in child.items():
+                    for e in grandchild if d not in "$*" else [""]:
+                        letters = "" if d in "$*" else d if e in "$*" else d + e
+                        after.setdefault(letters, []).append((c, child))
             node[">"] = after
         self.known: dict[str, int] = {}
+        # One edit leaves the first three letters of a term as they are, or the next three, in
+        # their place or one beside; a word of over six letters is near none of under six.
+        long = [t for t in (term.removesuffix("$") for term in terms) if len(t) >= 6]
+        self.heads, self.tails = {t[:3] for t in long}, {t[3:6] for t in long}
 
     def exact(self, word: str) -> bool:
+        return self._exact(word.translate(RESERVED))
+
+    def _exact(self, word: str) -> bool:
         node = self.root
-        for c in word.translate(RESERVED):
+        for c in word:
             if "*" in node:
                 return True
             node = node.get(c)
@@ -134,29 +166,48 @@ class Lexicon:
     def fuzzy(self, word: str, edits: int = 1) -> bool:
         return self._reaches(self.root, word.translate(RESERVED), 0, edits)
 
+    @staticmethod
+    def _follows(node: dict, word: str, at: int) -> bool:
+        """Whether a term ends below ``node`` for the rest of the word as it is."""
+        n = len(word)
+        while True:
+            if node.get("*", 0) >= 6 or (at == n and node.get("$", 0) >= 5):
+                return True
+            if at == n:
+                return False
+            node = node.get(word[at])
+            if node is None:
+                return False
+            at += 1
+
     def _reaches(self, node: dict, word: str, at: int, left: int) -> bool:
         """Whether a term ends below ``node`` for the rest of the word with at most ``left`` edits."""
+        if not left:
+            return self._follows(node, word, at)
         n = len(word)
         while True:
             if node.get("*", 0) >= 6 or (n - at <= left and node.get("$", 0) >= 5):
                 return True
-            if left:
-                here = word[at] if at < n else None
-                if left > 1:
-                    put = change = [(c, child) for c, child in node.items() if c not in "$*>"]
-                else:  # with the last edit spent, the next letter must follow at once, or a term end
-                    after = node[">"]
-                    put = after[here] + after[""] if here in after else after[""]
-                    then = word[at + 1] if at + 1 < n else None
-                    change = after[then] + after[""] if then in after else after[""]
-                for c, child in change:
-                    if here is not None and c != here:
-                        if self._reaches(child, word, at + 1, left - 1):
-                            return True
-                for _, child in put:
+            if left == 1:  # the last edit: of the children, those that the next letters allow
+                after = node[">"]
+                for rest in (at, at + 1) if at < n else (at,):
+                    two, one = word[rest : rest + 2], word[rest : rest + 1]
+                    for letters in {two, one, ""}:
+                        for c, child in after.get(letters, ()):
+                            # a letter too many in the term, or another one in its place
+                            if (rest == at or c != word[at]) and self._follows(child, word, rest):
+                                return True
+                if at < n and self._follows(node, word, at + 1):
+                    return True
+            else:
+                for c, child in node.items():
+                    if c in "$*>":
+                        continue
+                    if at < n and c != word[at] and self._reaches(child, word, at + 1, left - 1):
+                        return True
                     if self._reaches(child, word, at, left - 1):
                         return True
-                if here is not None and self._reaches(node, word, at + 1, left - 1):
+                if at < n and self._reaches(node, word, at + 1, left - 1):
                     return True
             if at == n:
                 return False
@@ -166,21 +217,33 @@ class Lexicon:
             at += 1
 
     def grade(self, word: str) -> int:
-        """2 for an exact hit, 1 for a misspelled one, else 0."""
-        plain = word.translate(PLAIN)
-        return 2 if self.exact(word) else 1 if self.exact(plain) or self.fuzzy(plain) else 0
+        """2 for an exact hit, 1 for a misspelled one, else 0, of letters and digits."""
+        if self._exact(word):
+            return 2
+        plain = word if word.isalpha() else word.translate(PLAIN)
+        if plain is not word and self._exact(plain):
+            return 1
+        tails = self.tails
+        if len(plain) <= 6 or plain[:3] in self.heads or (
+            plain[3:6] in tails or plain[2:5] in tails or plain[4:7] in tails
+        ):
+            return int(self._reaches(self.root, plain, 0, 1))
+        return 0
 
     def of(self, written: str) -> int:
         """The grade of what stands between two blanks: of it, its parts, or its letters joined."""
         got = self.known.get(written)
         if got is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 1_000_000:
                 self.known = {}
+            if written.isalpha():
+                got = self.known[written] = self.grade(written)
+                return got
             if written.isalnum():
                 parts = {written, *_LETTERS.findall(written)}
             else:
                 parts = set(_LETTERS.findall(written))
-            got = max(map(self.grade, parts), default=0)
+            got = max((self.of(p) if p.isalpha() else self.grade(p) for p in parts), default=0)
             if not got and not written.isalnum():
                 joined = "".join(c for c in written.translate(PLAIN) if c.isalnum())
                 got = 1 if joined and self.exact(joined) else 0
@@ -234,13 +297,11 @@ def _sigmoid(x: float) -> float:
 
 def fit_weights(
     labelled: DataFrame, terms: list[str], text_col: str = "text", label_col: str = "toxic",
-    bound: int = 50_000, steps: int = 600,
+    steps: int = 600,
 ) -> list[float]:
-    """Logistic regression on the features, over at most about ``bound`` labelled rows by hash."""
+    """Logistic regression on the features of all rows given, equal features combined."""
     known = labelled.filter(F.col(f"`{label_col}`").isNotNull())
-    parts = max(1, -(-known.count() // bound))
-    sample = known.filter(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(parts)) == 0)
-    sample = sample.select(
+    sample = known.select(
         F.col(f"`{text_col}`").alias("t"), F.col(f"`{label_col}`").cast("int").alias("label")
     )
     schema = schema_of(sample, ["label"], ", ".join(f"{f} double" for f in FEATURES))

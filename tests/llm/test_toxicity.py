@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyframe.llm.toxicity import FEATURES, Lexicon, describe, fit_weights, learn_lexicon, score_toxicity
+from tallyframe.llm.toxicity import FEATURES, Lexicon, describe, fit_weights, labelled_texts, learn_lexicon, score_toxicity
 
 
 def distances(a, b):
@@ -44,6 +44,8 @@ def test_automaton_is_edit_distance(edits):
                 word = word[:at] + r.choice(["", "a", "d"]) + word[at + r.randint(0, 1) :]
         found = lexicon.fuzzy(word, edits)
         assert found == plain_fuzzy(terms, word, edits), word
+        if edits == 1 and word and not lexicon.exact(word):
+            assert lexicon.grade(word) == int(found), word
         hits += found
     assert 100 < hits < 3900
 
@@ -76,3 +78,11 @@ def test_edges(spark):
     assert [g[2] for g in got[:4]] == [0, 1, 1, 0] and all(0 <= g[1] <= 1 for g in got)
     none = docs.limit(0)
     assert score_toxicity(none, learn_lexicon(known.limit(0)), fit_weights(known.limit(0), [])).collect() == []
+
+
+def test_labels_are_joined_once_and_bounded(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "x") for k in range(400)] + [(None, "n", "x")], "doc_id long, text string, Toxic string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(2, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    found = {r.text: r.toxic for r in labelled_texts(docs, labels).collect()}
+    assert found == {f"t{k}": 1 if k == 2 else k % 2 for k in range(400)}
+    assert 20 < labelled_texts(docs, labels, bound=50).count() < 90
