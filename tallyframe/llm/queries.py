@@ -148,9 +148,10 @@ def trie_toxicity(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = crc32_mod("doc_id", 5) == 0
-    labelled = labelled_texts(docs, table(spark, folder, "labels").filter(~held_out))
-    terms = learn_lexicon(labelled)
-    weights = fit_weights(labelled, terms)
+    labels = table(spark, folder, "labels").filter(~held_out)
+    terms = learn_lexicon(labelled_texts(docs, labels))
+    # five weights need no more rows than that
+    weights = fit_weights(labelled_texts(docs, labels, bound=50_000), terms)
     found = score_toxicity(docs, terms, weights)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
