@@ -1,29 +1,33 @@
 """Exact Jaccard self-join of documents on word shingles, as components, in metric space.
 
 Link: intersection over union of the shingle sets is at least ``num / den``, that is, a Jaccard
-distance of at most 0.1 for 90 / 100. Equal sets are one class from the start.
+distance of at most ``r = 1 - num / den``. Equal sets are one class from the start.
 
 Two kinds of pivots make the regions. Single shingles come first: in an order of all shingles (rare
 before frequent, then by hash) linked sets share one of their first ``n - ceil(n * num / den) + 1``,
-so a set belongs to the regions of these, its nearest pivot and those within the window. Regions of
-rare shingles are small, and pairs in them that sizes and a projection of the sets (a histogram
-over 64 buckets, whose distance bounds the true one from below) can't tell apart are compared.
-
-What meets only in frequent shingles are large families of near copies. They are regions around
-pivot documents: by the triangle inequality a set within 0.5 of a pivot has all its partners within
-0.6, so a region takes in the boundary up to there, and what is beyond 0.5 of every pivot is joined
-again among itself with new pivots. In a region, sets linked with the pivot are one component and
-not compared with one another; the others meet them and each other in blocks.
+so a set belongs to the regions of these. In a region, sizes and a projection of the sets (numbers
+of shingles in 64 buckets, modulo 16, whose distance bounds the true one from below) leave the pairs
+that may be linked. What they connect is a region of the second kind; so is what may meet only in
+frequent shingles, the large families of near copies.
+
+A region of more than ``block`` sets is divided around pivot documents of its own. With ``m`` as
+the distance of a set to its nearest pivot, a partner has a nearest pivot within ``m + r`` of its
+own, and so, by the triangle inequality, the set meets all its partners in the regions of the
+pivots within ``m + 2 r``. Sets further than ``REACH`` from every pivot are a region of their own;
+their partners that are nearer meet them around pivots, in windows of ``REACH + r``. Regions are
+divided again until they fit in a block; where pivots can't tell the sets apart, blocks meet
+blocks, but sets linked with one pivot are one component and are not compared with one another. Texts never come to the driver, and a set is shipped once a region.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -33,8 +37,9 @@ from tallyframe.operators.graph import components
 from tallyframe.session import cut_lineage
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-BUCKETS, INNER, OUTER = 64, 0.5, 0.6
+BUCKETS, LEVELS, REACH = 64, 16, 0.5
 SAMPLE, SHARE, LEAST = 64, 5000, 8  # one text in 64; frequent: 8 and one in 5000 of these, or more
+FAMILIES = -(2**63)  # the region of all sets with a frequent shingle among their first ones
 
 
 def shingles(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
@@ -69,37 +74,45 @@ def _described(frequent: np.ndarray, num: int, den: int):
         digest = xxhash.xxh3_128_digest(found.tobytes())
         one, two = np.frombuffer(digest, np.int64).tolist()
         if not n:
-            return 0, one, two, [], 0, b""
+            return 0, one, two, [], 0, bytes(BUCKETS // 2)
         keep = n - -(-num * n // den) + 1
         common = np.isin(found, frequent) if len(frequent) else np.zeros(n, bool)
         rare, often = found[~common][:keep], found[common]
         often = often[: keep - len(rare)]
         counts = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-        histogram = np.minimum(counts, 255).astype(np.uint8).tobytes()
-        return n, one, two, rare.view(np.int64).tolist(), len(often), histogram
+        level = (counts % LEVELS).astype(np.uint8)
+        sketch = (level[::2] | level[1::2] << 4).tobytes()
+        return n, one, two, rare.view(np.int64).tolist(), len(often), sketch
 
     return row
 
 
 def _regions(num: int, den: int):
-    """Pairs of one region (rows sorted by shingle, then size) whose sizes allow a link."""
+    """Pairs of one region (rows sorted by shingle, then size) that may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            e, c, n = (batch.column(i).to_numpy() for i in range(3))
+            numbers = (batch.column(i).to_numpy().astype(np.int64, copy=False) for i in range(3))
+            rows = (*numbers, _levels(batch.column(3)))
             if tail is not None:
-                e, c, n = (np.r_[a, b] for a, b in zip(tail, (e, c, n)))
-            cut = int(np.searchsorted(e, e[-1])) if len(e) else 0
-            tail = (e[cut:], c[cut:], n[cut:])
-            yield from _pairs(e[:cut], c[:cut], n[:cut], num, den)
+                rows = tuple(np.concatenate(both) for both in zip(tail, rows))
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            tail = tuple(column[cut:] for column in rows)
+            yield from _pairs(*(column[:cut] for column in rows), num, den)
         if tail is not None:
             yield from _pairs(*tail, num, den)
 
     return run
 
 
-def _pairs(e, c, n, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _levels(column: pa.Array) -> np.ndarray:
+    """One row of bucket levels per sketch."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS // 2)
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(-1, BUCKETS).view(np.int8)
+
+
+def _pairs(e, c, n, level, num: int, den: int) -> Iterator[pa.RecordBatch]:
     found: set[tuple[int, int]] = set()
     active = np.arange(len(e) - 1)
     step = 1
@@ -107,8 +120,15 @@ def _pairs(e, c, n, num: int, den: int) -> Iterator[pa.RecordBatch]:
         a, b = active, active + step
         ok = (e[a] == e[b]) & (n[b] * num <= n[a] * den)
         a, b = a[ok], b[ok]
-        low, high = np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
-        found.update(zip(low.tolist(), high.tolist()))
+        for at in range(0, len(a), 50_000):
+            x, y = a[at : at + 50_000], b[at : at + 50_000]
+            apart = np.abs(level[x] - level[y])
+            apart = np.minimum(apart, LEVELS - apart).sum(axis=1, dtype=np.int64)
+            # |A| + |B| = union + intersection, apart <= union - intersection
+            total = n[x] + n[y]
+            near = ((total + apart) * num <= (total - apart) * den) & (c[x] != c[y])
+            low, high = np.minimum(c[x], c[y])[near], np.maximum(c[x], c[y])[near]
+            found.update(zip(low.tolist(), high.tolist()))
         active = a[a + step + 1 < len(e)]
         step += 1
         if len(found) > 200_000:
@@ -125,40 +145,6 @@ def _batch(found) -> pa.RecordBatch:
     )
 
 
-def _near(num: int, den: int):
-    """Drops pairs whose histograms are further apart than a link allows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4096):
-            a, b, n, m, x, y = batch.columns
-            x, y = (
-                np.frombuffer(b"".join(h.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(int)
-                for h in (x, y)
-            )
-            apart = np.abs(x - y).sum(axis=1)
-            # |A| + |B| = union + intersection, apart <= union - intersection
-            total = n.to_numpy() + m.to_numpy()
-            ok = (total + apart) * num <= (total - apart) * den
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def _check(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both * den >= (len(x) + len(y) - both) * num)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(
-                pa.array(ok, pa.bool_())
-            )
-
-    return run
-
-
 class Pivots:
     """Distances of a set to a bounded number of pivot sets, by one lookup per element."""
 
@@ -179,32 +165,76 @@ class Pivots:
         return np.bincount(self.of[at], minlength=len(self.ids))
 
 
-def _voronoi(pivots: Pivots, num: int, den: int):
-    """Regions a set belongs to; no pivot for the sets that need other pivots."""
+def _voronoi(num: int, den: int):
+    """The pivots in whose windows each set of a region lies; null for sets far from all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
-            rows = []
-            for cid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    def run(key, sets, pivots):
+        import pandas as pd
+
+        rows = []
+        if len(sets) and len(pivots):
+            index = Pivots(list(zip(pivots["pivot"], pivots["pivot_elements"])))
+            for cid, raw in zip(sets["cid"], sets["elements"]):
                 found = np.frombuffer(raw, np.uint64)
-                both = pivots.shared(found)
-                union = len(found) + pivots.sizes - both
-                distance = 1.0 - both / union
+                both = index.shared(found)
+                union = len(found) + index.sizes - both
                 linked = both * den >= union * num
-                for k in np.flatnonzero(distance <= OUTER):
-                    rows.append((cid, raw, pivots.ids[k], bool(linked[k])))
-                if distance.min() > INNER:
-                    rows.append((cid, raw, None, False))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.bool_())
-                        )
-                    ],
-                    names=["cid", "elements", "pivot", "linked"],
-                )
+                # distances times den, with room for rounding: a wider window loses nothing
+                distance = den * (1.0 - both / union)
+                room, least = den - num + 1e-6 * den, distance.min()
+                window = distance <= min(least + 2 * room, REACH * den + room)
+                if least > REACH * den:
+                    rows.append((key[0], cid, None, False))
+                for k in np.flatnonzero(window | linked):
+                    rows.append((key[0], cid, index.ids[k], bool(linked[k])))
+        return pd.DataFrame(rows, columns=["region", "cid", "pivot", "linked"]).astype(
+            {"region": "int64", "cid": "int64", "pivot": "Int64", "linked": "bool"}
+        )
+
+    return run
+
+
+class _Forest:
+    """Links that connect what was not connected yet."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[a] = b
+            self.links.append((x, y))
+
+    def table(self):
+        import pandas as pd
+
+        return pd.DataFrame(self.links, columns=["a", "b"]).astype("int64")
+
+
+def _meet(index: Pivots, ids, elements, num: int, den: int, forest: _Forest) -> None:
+    for cid, raw in zip(ids, elements):
+        found = np.frombuffer(raw, np.uint64)
+        both = index.shared(found)
+        for k in np.flatnonzero(both * den >= (len(found) + index.sizes - both) * num):
+            forest.link(index.ids[k], cid)
+
+
+def _finish(num: int, den: int):
+    """Links within one region, thinned to a forest with the same components."""
+
+    def run(sets):
+        forest = _Forest()
+        index = Pivots(list(zip(sets["cid"], sets["elements"])))
+        _meet(index, sets["cid"], sets["elements"], num, den, forest)
+        return forest.table()
 
     return run
 
@@ -213,78 +243,121 @@ def _tile(num: int, den: int):
     """Links between two blocks, thinned to a forest with the same components."""
 
     def run(key, left, right):
-        import pandas as pd
-
-        out = []
+        forest = _Forest()
         if len(left) and len(right):
             index = Pivots(list(zip(left["cid"], left["elements"])))
-            parent: dict[int, int] = {}
+            _meet(index, right["open_cid"], right["open_elements"], num, den, forest)
+        return forest.table()
 
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
+    return run
 
-            for cid, raw in zip(right["open_cid"], right["open_elements"]):
-                found = np.frombuffer(raw, np.uint64)
-                both = index.shared(found)
-                for k in np.flatnonzero(both * den >= (len(found) + index.sizes - both) * num):
-                    a, b = root(cid), root(index.ids[k])
-                    if a != b:
-                        parent[a] = b
-                        out.append((index.ids[k], cid))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return run
+def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links in regions that pivots can't divide: sets not linked with the pivot meet all."""
+    own = F.abs(F.xxhash64("cid"))
+    every = rows.filter("open > 0").select(
+        "region",
+        "cid",
+        "elements",
+        (own % F.col("all")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("j"),
+    )
+    opened = rows.filter("not linked").select(
+        F.col("region").alias("at"),
+        F.col("cid").alias("open_cid"),
+        F.col("elements").alias("open_elements"),
+        F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("k"),
+        (own % F.col("open")).cast("int").alias("l"),
+    )
+    tiles = every.groupBy("region", "i", "j").cogroup(opened.groupBy("at", "k", "l"))
+    return tiles.applyInPandas(_tile(num, den), "a long, b long")
 
 
-def _families(sets: DataFrame, num: int, den: int, pivots: int, block: int) -> list[DataFrame]:
-    """Links among ``sets`` (cid, elements) by pivot documents, recursively."""
-    links, todo, turn = [], sets, 0
+def _divide(
+    sets: DataFrame, regions: DataFrame, num: int, den: int, pivots: int, block: int
+) -> DataFrame:
+    """Links among the ``sets`` (cid, elements) of each of the ``regions`` (region, cid)."""
+    links, turn = [], 0
+    todo = regions
     while True:
-        chosen = (
-            todo.orderBy(F.xxhash64("cid", F.lit(turn)), "cid").limit(pivots).collect()
+        sizes = todo.groupBy("region").agg(F.count("*").alias("size"))
+        parts = cut_lineage(todo.join(sizes, "region"), "parts")
+        done = parts.filter((F.col("size") > 1) & (F.col("size") <= block))
+        links.append(
+            done.select("region", "cid")
+            .join(sets, "cid")
+            .groupBy("region")
+            .applyInPandas(_finish(num, den), "a long, b long")
+        )
+        large = parts.filter(F.col("size") > block)
+        if large.isEmpty():
+            break
+        slots = F.ceil(F.col("size") / block).cast("int")
+        order = Window.partitionBy("region").orderBy(F.xxhash64("cid", F.lit(turn)), "cid")
+        chosen = large.withColumn("place", F.row_number().over(order)).filter(
+            F.col("place") <= pivots
+        )
+        chosen = chosen.join(sets, "cid").select(
+            F.col("region").alias("at"),
+            F.col("cid").alias("pivot"),
+            F.col("elements").alias("pivot_elements"),
+            F.explode(F.sequence(F.lit(0), slots - 1)).alias("k"),
+        )
+        members = large.join(sets, "cid").select(
+            "region",
+            "cid",
+            "elements",
+            (F.abs(F.xxhash64("cid")) % slots).cast("int").alias("slot"),
         )
-        if not chosen:
-            return links
-        index = Pivots([(r["cid"], bytes(r["elements"])) for r in chosen])
         dealt = cut_lineage(
-            todo.mapInArrow(
-                _voronoi(index, num, den), "cid long, elements binary, pivot long, linked boolean"
-            ),
+            members.groupBy("region", "slot")
+            .cogroup(chosen.groupBy("at", "k"))
+            .applyInPandas(_voronoi(num, den), "region long, cid long, pivot long, linked boolean")
+            .groupBy("region", "cid", "pivot")
+            .agg(F.min("linked").alias("linked"), F.max("linked").alias("meets")),
             "regions",
         )
-        inside = dealt.filter("pivot is not null")
         links.append(
-            inside.filter("linked and cid <> pivot").select(
-                F.col("pivot").alias("a"), F.col("cid").alias("b")
+            dealt.filter("meets").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+        )
+        around = dealt.groupBy("region", "pivot").agg(
+            F.count("*").alias("n"), F.count(F.when(F.col("linked"), 1)).alias("close")
+        )
+        outcome = (
+            around.groupBy("region")
+            .agg(
+                F.sum("n").alias("sum"),
+                F.max("n").alias("most"),
+                F.max(F.struct("close", "pivot")).alias("center"),
             )
+            .join(sizes, "region")
+            .withColumn("apart", F.expr("4 * most <= 3 * size and sum <= 2 * size"))
         )
-        # sets not linked with the pivot meet all of the region, block by block
-        sizes = inside.groupBy("pivot").agg(
-            F.ceil(F.count("*") / block).cast("int").alias("all"),
-            F.ceil(F.count(F.when(~F.col("linked"), 1)) / block).cast("int").alias("open"),
+        outcome = cut_lineage(
+            outcome.select("region", "size", "apart", "center.close", "center.pivot"), "outcome"
         )
-        spread = inside.join(sizes, "pivot").filter("open > 0")
-        own = F.abs(F.xxhash64("cid"))
-        every = spread.select(
-            "pivot",
-            "cid",
-            "elements",
-            (own % F.col("all")).cast("int").alias("i"),
-            F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("j"),
+        # blocks where nothing is won by more pivots
+        close = dealt.filter("linked").select(
+            "region", "pivot", "cid", F.col("linked").alias("near_center")
+        )
+        together = (
+            large.select("region", "cid")
+            .join(outcome.filter("not apart"), "region")
+            .join(close, ["region", "pivot", "cid"], "left")
+            .withColumn("linked", F.coalesce("near_center", F.lit(False)))
+            .withColumn("all", F.ceil(F.col("size") / block).cast("int"))
+            .withColumn("open", F.ceil((F.col("size") - F.col("close")) / block).cast("int"))
+            .join(sets, "cid")
         )
-        opened = spread.filter("not linked").select(
-            F.col("pivot").alias("at"),
-            F.col("cid").alias("open_cid"),
-            F.col("elements").alias("open_elements"),
-            F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("k"),
-            (own % F.col("open")).cast("int").alias("l"),
+        links.append(_blocks(together, num, den))
+        todo = cut_lineage(
+            dealt.join(outcome.filter("apart").select("region"), "region")
+            .select(F.xxhash64("region", "pivot", F.lit(turn)).alias("region"), "cid")
+            .distinct(),
+            "divided",
         )
-        tiles = every.groupBy("pivot", "i", "j").cogroup(opened.groupBy("at", "k", "l"))
-        links.append(tiles.applyInPandas(_tile(num, den), "a long, b long").filter("a <> b"))
-        todo = dealt.filter("pivot is null").select("cid", "elements")
         turn += 1
+    return reduce(DataFrame.union, links).filter("a <> b")
 
 
 def jaccard_components(
@@ -294,8 +367,8 @@ def jaccard_components(
     words: int = 3,
     num: int = 90,
     den: int = 100,
-    pivots: int = 256,
-    block: int = 512,
+    pivots: int = 16,
+    block: int = 1024,
 ) -> DataFrame:
     """``n_shingles`` and ``component_id``, the smallest id reachable by links, per document.
 
@@ -321,7 +394,7 @@ def jaccard_components(
         F.col("count") >= least
     )
     often = np.sort(frequent.select("e").toArrow().column(0).to_numpy().view(np.uint64))
-    more = "n int, one long, two long, rare array<long>, often int, histogram binary"
+    more = "n int, one long, two long, rare array<long>, often int, sketch binary"
     schema = schema_of(part, ["cid"], more)
     described = cut_lineage(
         part.mapInArrow(
@@ -334,80 +407,61 @@ def jaccard_components(
         .groupBy("one", "two")
         .agg(
             F.min("cid").alias("cid"),
-            *[F.first(c).alias(c) for c in ("n", "rare", "often", "histogram")],
+            *[F.first(c).alias(c) for c in ("n", "rare", "often", "sketch")],
         ),
         "classes",
     )
-    postings = classes.select(F.explode("rare").alias("e"), "cid", "n")
-    pairs = (
+    postings = classes.select(F.explode("rare").alias("e"), "cid", "n", "sketch")
+    near = cut_lineage(
         postings.repartition("e")
         .sortWithinPartitions("e", "n", "cid")
         .mapInArrow(_regions(num, den), "a long, b long")
-        .filter("a <> b")
-        .distinct()
-    )
-    of = classes.select("cid", "n", "histogram")
-    first = of.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("histogram").alias("x"))
-    second = of.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("histogram").alias("y"))
-    near = cut_lineage(
-        pairs.join(first, "a")
-        .join(second, "b")
-        .select("a", "b", "n", "m", "x", "y")
-        .mapInArrow(_near(num, den), "a long, b long")
         .distinct(),
         "pairs",
     )
-    family = classes.filter("often > 0").select("cid")
-    wanted = (
-        near.select(F.col("a").alias("cid"), F.lit(False).alias("family"))
-        .union(near.select(F.col("b"), F.lit(False)))
-        .union(family.select("cid", F.lit(True)))
-        .groupBy("cid")
-        .agg(F.max("family").alias("family"))
-    )
-    set_schema = pa.schema(
-        [("cid", pa.int64()), ("elements", pa.binary()), ("family", pa.bool_())]
+    met = components(near.select(F.col("a").alias("node")).union(near.select("b")), near)
+    regions = cut_lineage(
+        met.select(F.col("label").alias("region"), F.col("node").alias("cid")).union(
+            classes.filter("often > 0").select(F.lit(FAMILIES).alias("region"), "cid").distinct()
+        ),
+        "met",
     )
     sets = cut_lineage(
-        usable.join(wanted, "cid").dropDuplicates(["cid", "text"]).mapInArrow(
-            _with_flag(words, set_schema), "cid long, elements binary, family boolean"
-        ),
+        usable.join(regions.select("cid").distinct(), "cid")
+        .select("cid", "text")
+        .dropDuplicates(["cid", "text"])
+        .mapInArrow(
+            _sets(
+                words,
+                pa.schema([("cid", pa.int64()), ("elements", pa.binary())]),
+                lambda s: (s.tobytes(),),
+            ),
+            "cid long, elements binary",
+        )
+        .filter("length(elements) > 0"),
         "elements",
     )
-    one = sets.select(F.col("cid").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("cid").alias("b"), F.col("elements").alias("y"))
-    links = near.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    links = links.mapInArrow(_check(num, den), "a long, b long")
-    for more_links in _families(
-        sets.filter("family").select("cid", "elements"), num, den, pivots, block
-    ):
-        links = links.union(more_links)
-    links = cut_lineage(links, "links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
-    labels = components(nodes, links)
-    return (
+    links = _divide(sets, regions, num, den, pivots, block)
+    heads = cut_lineage(
         described.select("cid", "n", "one", "two")
-        .join(
-            classes.select("one", "two", F.col("cid").alias("head")), ["one", "two"], "left"
-        )
-        .withColumn("head", F.when(F.col("cid").isNotNull(), F.coalesce("head", "cid")))
-        .join(labels, F.col("head") == F.col("node"), "left")
+        .join(classes.select("one", "two", F.col("cid").alias("head")), ["one", "two"], "left")
         .select(
-            F.col("cid").alias(id_col),
-            F.col("n").cast("long").alias("n_shingles"),
-            F.coalesce("label", "head").alias("component_id"),
-        )
+            "cid", "n", F.when(F.col("cid").isNotNull(), F.coalesce("head", "cid")).alias("head")
+        ),
+        "heads",
+    )
+    several = (
+        heads.filter("cid is not null")
+        .groupBy("cid")
+        .agg(F.min("head").alias("low"), F.max("head").alias("high"))
+        .filter("low < high")
+    )
+    own = several.join(heads, "cid").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    links = cut_lineage(links.union(own), "links")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
+    labels = components(nodes, links)
+    return heads.join(labels, F.col("head") == F.col("node"), "left").select(
+        F.col("cid").alias(id_col),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("label", "head").alias("component_id"),
     )
-
-
-def _with_flag(k: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in pieces(batches, 256):
-            known.trim()
-            sets = [shingles(t, k, known).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], schema=schema
-            )
-
-    return run
