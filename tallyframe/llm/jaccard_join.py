@@ -7,7 +7,7 @@ Two kinds of pivots make the regions. Single shingles come first: in an order of
 before frequent, then by hash) linked sets share one of their first ``n - ceil(n * num / den) + 1``,
 so a set belongs to the regions of these. In a region, sizes and a projection of the sets (numbers
 of shingles in 64 buckets, modulo 16, whose distance bounds the true one from below) leave the pairs
-that may be linked. What they connect is a region of the second kind; so is what may meet only in
+that may be linked; long sets have more buckets, looked at once per pair. What they connect is a region of the second kind; so is what may meet only in
 frequent shingles, the large families of near copies.
 
 A region of more than ``block`` sets is divided around pivot documents of its own. With ``m`` as
@@ -68,21 +68,26 @@ def _sets(k: int, schema: pa.Schema, row):
     return run
 
 
+def _sketch(found: np.ndarray, bits: int) -> bytes:
+    """Numbers of shingles by their first ``bits`` bits, modulo ``LEVELS``, two in a byte."""
+    bucket = (found >> np.uint64(64 - bits)).astype(np.int64)
+    level = (np.bincount(bucket, minlength=1 << bits) % LEVELS).astype(np.uint8)
+    return (level[::2] | level[1::2] << 4).tobytes()
+
+
 def _described(frequent: np.ndarray, num: int, den: int):
     def row(found: np.ndarray) -> tuple:
         n = len(found)
         digest = xxhash.xxh3_128_digest(found.tobytes())
         one, two = np.frombuffer(digest, np.int64).tolist()
         if not n:
-            return 0, one, two, [], 0, bytes(BUCKETS // 2)
+            return 0, one, two, [], 0, bytes(BUCKETS // 2), b""
         keep = n - -(-num * n // den) + 1
         common = np.isin(found, frequent) if len(frequent) else np.zeros(n, bool)
         rare, often = found[~common][:keep], found[common]
         often = often[: keep - len(rare)]
-        counts = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-        level = (counts % LEVELS).astype(np.uint8)
-        sketch = (level[::2] | level[1::2] << 4).tobytes()
-        return n, one, two, rare.view(np.int64).tolist(), len(often), sketch
+        fine = _sketch(found, int(n // 8).bit_length() - 1) if n > BUCKETS * LEVELS else b""
+        return n, one, two, rare.view(np.int64).tolist(), len(often), _sketch(found, 6), fine
 
     return row
 
@@ -145,6 +150,34 @@ def _batch(found) -> pa.RecordBatch:
     )
 
 
+def _unpacked(sketch: bytes) -> np.ndarray:
+    packed = np.frombuffer(sketch, np.uint8)
+    return np.stack([packed & 15, packed >> 4], axis=1).ravel().astype(np.int64)
+
+
+def _finer(num: int, den: int):
+    """Keeps pairs that may be linked by the long sketches of long sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4096):
+            ok = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if not x or not y:
+                    ok.append(True)
+                    continue
+                x, y = _unpacked(x), _unpacked(y)
+                size = min(len(x), len(y))  # neighbouring buckets add up to one of fewer bits
+                x, y = (v.reshape(size, -1).sum(axis=1) % LEVELS for v in (x, y))
+                apart = np.abs(x - y)
+                apart = int(np.minimum(apart, LEVELS - apart).sum())
+                ok.append((n + m + apart) * num <= (n + m - apart) * den)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(
+                pa.array(ok, pa.bool_())
+            )
+
+    return run
+
+
 class Pivots:
     """Distances of a set to a bounded number of pivot sets, by one lookup per element."""
 
@@ -394,7 +427,7 @@ def jaccard_components(
         F.col("count") >= least
     )
     often = np.sort(frequent.select("e").toArrow().column(0).to_numpy().view(np.uint64))
-    more = "n int, one long, two long, rare array<long>, often int, sketch binary"
+    more = "n int, one long, two long, rare array<long>, often int, sketch binary, fine binary"
     schema = schema_of(part, ["cid"], more)
     described = cut_lineage(
         part.mapInArrow(
@@ -407,15 +440,24 @@ def jaccard_components(
         .groupBy("one", "two")
         .agg(
             F.min("cid").alias("cid"),
-            *[F.first(c).alias(c) for c in ("n", "rare", "often", "sketch")],
+            *[F.first(c).alias(c) for c in ("n", "rare", "often", "sketch", "fine")],
         ),
         "classes",
     )
     postings = classes.select(F.explode("rare").alias("e"), "cid", "n", "sketch")
-    near = cut_lineage(
+    pairs = (
         postings.repartition("e")
         .sortWithinPartitions("e", "n", "cid")
         .mapInArrow(_regions(num, den), "a long, b long")
+        .distinct()
+    )
+    first = classes.select(F.col("cid").alias("a"), "n", F.col("fine").alias("x"))
+    second = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y"))
+    near = cut_lineage(
+        pairs.join(first, "a")
+        .join(second, "b")
+        .select("a", "b", "n", "m", "x", "y")
+        .mapInArrow(_finer(num, den), "a long, b long")
         .distinct(),
         "pairs",
     )

@@ -86,3 +86,19 @@ def test_ids_with_several_texts_and_repeated_rows(spark):
         found.setdefault(r.doc_id, set()).add(r.component_id)
     expected = brute_force(rows, 90, 100)
     assert {d: {c} for d, c in expected.items()} == found
+
+
+def test_long_texts(spark):
+    rng = random.Random(3)
+    rows = []
+    for size in (1_100, 2_040, 2_200, 9_000):
+        origin = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for share in (0, 0.01, 0.012, 0.03, 0.05, 0.5):
+            near = list(origin) + ["more"] * int(size * share)
+            for p in rng.sample(range(size), int(size * share)):
+                near[p] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    assert found == brute_force(rows, 90, 100)
+    assert 4 < len(set(found.values())) < len(rows)
