@@ -1,11 +1,11 @@
 """Quality rules: modified Kneser-Ney perplexity with bands per language.
 
-The model runs over the characters of a word, with marks at its begin and end: a text is as likely
-as its words. So Spark counts words first, which combine well before the shuffle, and n-grams of
-characters only from the distinct words, weighted by their counts. ASCII characters stand for
-themselves and all others share 64 signs, so an n-gram of three signs has a hash below 192 ** 3, and
-the model of a language, sorted arrays of such hashes with their probabilities, has a bounded size
-whatever the size of the corpus.
+The model runs over the characters of a text, one blank between two words, one before the first and
+one after the last. Its n-grams cross the blanks: those inside a word and its blanks are counted
+from the distinct words, weighted by their counts, and those from the end of a word to the begin of
+the next from the distinct borders. Both combine well before the shuffle. Each code point is a sign
+of its own, so three of them are one number below 2 ** 63 without any hashing; the model of a
+language holds its different n-grams, which grow with its alphabet and hardly with the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyframe.llm.common import pieces, schema_of, utf8, without
 from tallyframe.session import cut_lineage
 
-SIGNS = 192
+BITS = 21  # of a code point
+LAST = (1 << BITS) - 1
+BLANK = 32
 SYMBOLS = "#*$%&|<>"  # fixed value: the characters that count as symbols
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 RESULT = (*BASE, "log_perplexity", "low", "high", "kept")
@@ -32,9 +34,10 @@ def _lang(value: str | None) -> str:
     return value or "und"
 
 
-def _counts(most: int):
+def _counts(most: int, borders: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
+        crossed: dict[str, Counter] = {}
 
         def flush():
             for lang, counter in found.items():
@@ -43,65 +46,113 @@ def _counts(most: int):
                         [
                             pa.array([lang] * len(counter)),
                             pa.array(list(counter), pa.binary()),
+                            pa.nulls(len(counter), pa.int64()),
                             pa.array(list(counter.values()), pa.int64()),
                         ],
-                        names=["lang", "word", "n"],
+                        names=["lang", "word", "gram", "n"],
+                    )
+            for lang, counter in crossed.items():
+                if counter:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(counter)),
+                            pa.nulls(len(counter), pa.binary()),
+                            pa.array(list(counter), pa.int64()),
+                            pa.array(list(counter.values()), pa.int64()),
+                        ],
+                        names=["lang", "word", "gram", "n"],
                     )
             found.clear()
+            crossed.clear()
 
         for batch in pieces(batches, 512):
+            of: dict[str, list[list[bytes]]] = {}
             for text, lang in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 if text:
-                    found.setdefault(_lang(lang), Counter()).update(text.split())
-            if sum(map(len, found.values())) > most:
+                    of.setdefault(_lang(lang), []).append(text.split())
+            for lang, listed in of.items():
+                counter = found.setdefault(lang, Counter())
+                for words in listed:
+                    counter.update(words)
+                if borders:
+                    grams, n = np.unique(border_grams(listed)[0], return_counts=True)
+                    more = crossed.setdefault(lang, Counter())
+                    more.update(dict(zip(grams.tolist(), n.tolist())))
+            if sum(map(len, found.values())) + sum(map(len, crossed.values())) > most:
                 yield from flush()
         yield from flush()
 
     return run
 
 
+def _counted(docs: DataFrame, text: str, lang: str, most: int, borders: bool) -> DataFrame:
+    part = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
+    counted = part.mapInArrow(
+        _counts(most, borders), "lang string, word binary, gram long, n long"
+    )
+    return counted.groupBy("lang", "word", "gram").agg(F.sum("n").alias("n"))
+
+
 def word_counts(docs: DataFrame, text: str, lang: str, most: int = 300_000) -> DataFrame:
     """(lang, word, n) over all texts; a task holds at most ``most`` words before it passes on."""
-    part = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
-    counted = part.mapInArrow(_counts(most), "lang string, word binary, n long")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return _counted(docs, text, lang, most, False).drop("gram")
 
 
-def signs(listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of words laid end to end, each between marks 2 and 3, and where each word ends."""
-    text = "".join(["\x02" + w.decode("utf-8") + "\x03" for w in listed])
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    codes = np.where(codes < 128, codes, 128 + codes % 64)
-    lengths = np.fromiter((len(w.decode("utf-8")) + 2 for w in listed), np.int64, len(listed))
-    return codes, np.cumsum(lengths)
+def sign_counts(docs: DataFrame, text: str, lang: str, most: int = 300_000) -> DataFrame:
+    """(lang, word, gram, n): the words of all texts, and the n-grams across their borders.
 
+    One of ``word`` and ``gram`` is null. A task holds at most about ``most`` of both.
+    """
+    return _counted(docs, text, lang, most, True)
 
-def grams(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each sign after a begin mark: hash of the two or three signs that end there, and word.
 
-    The first sign of a word has only the mark before it; its hash has no third sign, which the
-    marks tell apart from all others.
+def codes_of(text: bytes) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def word_grams(listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every three signs of each word between its blanks, and the place of the word."""
+    if not listed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = codes_of(b" " + b" ".join(listed) + b" ")
+    end = np.flatnonzero(codes == BLANK)
+    word = np.repeat(np.arange(len(listed)), np.diff(end))  # of the sign before the blank too
+    keep = codes[1:-1] != BLANK  # no n-gram has its second sign between two words
+    three = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
+    return three[keep], word[1:][keep]
+
+
+def border_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The last sign before each word, its blank and its first sign, and the place of the text.
+
+    Nothing, 0, is before the blank of a text's first word.
     """
-    word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    begins = np.r_[0, ends[:-1]]
-    keep = np.ones(len(codes), bool)
-    keep[begins] = False
-    before = np.r_[0, codes[:-1]]
-    third = np.r_[0, 0, codes[:-2]]
-    third[np.minimum(begins + 1, len(codes) - 1)] = 0
-    return (third * SIGNS * SIGNS + before * SIGNS + codes)[keep], word[keep]
+    texts_ = [(i, words) for i, words in enumerate(texts) if words]
+    if not texts_:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = codes_of(b"".join([b"\n" + b" ".join(words) for _, words in texts_]))
+    at = np.flatnonzero((codes == BLANK) | (codes == 10))
+    opens = codes[at] == 10
+    before = np.where(opens, 0, codes[at - 1])
+    text = np.array([i for i, _ in texts_])[np.cumsum(opens) - 1]
+    return (before << 2 * BITS) | (BLANK << BITS) | codes[at + 1], text
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 20_000):
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        listed, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        listed, crossed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        n = batch.column(3).to_numpy()
+        inside = np.array([w is not None for w in listed], bool)
         for lang in dict.fromkeys(langs):
-            at = np.flatnonzero(langs == lang)
-            hashes, word = grams(*signs([listed[i] for i in at]))
-            found, where = np.unique(hashes, return_inverse=True)
+            at = np.flatnonzero((langs == lang) & inside)
+            own, word = word_grams([listed[i] for i in at])
+            other = np.flatnonzero((langs == lang) & ~inside)
+            borders = np.array([crossed[i] for i in other], np.int64)
+            found, where = np.unique(np.r_[own, borders], return_inverse=True)
             sums = np.zeros(len(found), np.int64)
-            np.add.at(sums, where, n[at][word])
+            np.add.at(sums, where, np.r_[n[at][word], n[other]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(found)), pa.array(found), pa.array(sums)],
                 names=["lang", "gram", "n"],
@@ -116,40 +167,34 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, start=1))])
 
 
-def _level(grams_: np.ndarray, counts: np.ndarray):
+def _level(grams: np.ndarray, counts: np.ndarray):
     """Discounted share of each n-gram in its context, and the mass each context keeps back."""
     d = _discounts(counts)[np.minimum(counts, 3)]
-    contexts, where = np.unique(grams_ // SIGNS, return_inverse=True)
+    contexts, where = np.unique(grams >> BITS, return_inverse=True)
     total = np.bincount(where, counts)
     return (counts - d) / total[where], contexts, np.bincount(where, d) / total
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney of one language, in sorted arrays of hashes."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
-        opening = hashes < SIGNS * SIGNS  # begin mark and first sign: no third sign
-        three, n3 = hashes[~opening], counts[~opening]
-        # lower orders count the different signs before; nothing is before a begin mark
-        two, n2 = np.unique(three % (SIGNS * SIGNS), return_counts=True)
-        two, n2 = np.r_[two, hashes[opening]], np.r_[n2, counts[opening]]
-        order = np.argsort(two)
-        two, n2 = two[order], n2[order]
-        one, n1 = np.unique(two % SIGNS, return_counts=True)
-        share, _, back = _level(one, n1)
-        self.single = np.full(SIGNS, (back[0] if len(back) else 1.0) / SIGNS)
-        self.single[one] += share
-        share, contexts, back = _level(two, n2)
-        self.back1 = np.ones(SIGNS)
-        self.back1[contexts] = back
-        self.two = two
-        self.p2 = share + self.back1[two // SIGNS] * self.single[two % SIGNS]
-        self.three = three
-        share, self.contexts, self.back2 = _level(three, n3) if len(three) else ([], three, [])
-        self.p3 = share + self._of(self.contexts, self.back2, three // SIGNS, 1.0) * self._two(
-            three % (SIGNS * SIGNS)
+    """Interpolated modified Kneser-Ney of one language, in sorted arrays of n-grams."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        self.three, n3 = grams[order], counts[order]
+        # lower orders count the different signs before
+        self.two, n2 = np.unique(self.three & (1 << 2 * BITS) - 1, return_counts=True)
+        self.one, n1 = np.unique(self.two & LAST, return_counts=True)
+        share, _, back = _level(self.one, n1)
+        # all signs that the language never showed are one more
+        self.unseen = (float(back[0]) if len(back) else 1.0) / (len(self.one) + 1)
+        self.p1 = share + self.unseen
+        share, self.contexts1, self.back1 = _level(self.two, n2)
+        self.p2 = share + self._lower(self.contexts1, self.back1, self.two >> BITS) * self._one(
+            self.two & LAST
+        )
+        share, self.contexts2, self.back2 = _level(self.three, n3)
+        self.p3 = share + self._lower(self.contexts2, self.back2, self.three >> BITS) * self._two(
+            self.three & (1 << 2 * BITS) - 1
         )
 
     @staticmethod
@@ -159,23 +204,37 @@ class KneserNey:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], other)
 
+    def _lower(self, contexts: np.ndarray, back: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        return self._of(contexts, back, wanted, 1.0)
+
+    def _one(self, one: np.ndarray) -> np.ndarray:
+        return self._of(self.one, self.p1, one, self.unseen)
+
     def _two(self, two: np.ndarray) -> np.ndarray:
-        unseen = self.back1[two // SIGNS] * self.single[two % SIGNS]
+        unseen = self._lower(self.contexts1, self.back1, two >> BITS) * self._one(two & LAST)
         return self._of(self.two, self.p2, two, unseen)
 
-    def log(self, listed: list[bytes]) -> np.ndarray:
-        """Natural logarithm of the probability of each word, its end included."""
-        hashes, word = grams(*signs(listed))
-        lower = self._two(hashes % (SIGNS * SIGNS))
-        back = self._of(self.contexts, self.back2, hashes // SIGNS, 1.0)
-        p = np.where(
-            hashes < SIGNS * SIGNS, lower, self._of(self.three, self.p3, hashes, back * lower)
+    def probabilities(self, three: np.ndarray) -> np.ndarray:
+        """Of the last sign of each n-gram after the two before it."""
+        unseen = self._lower(self.contexts2, self.back2, three >> BITS) * self._two(
+            three & (1 << 2 * BITS) - 1
         )
-        return np.bincount(word, np.log(p), len(listed))
+        return self._of(self.three, self.p3, three, unseen)
+
+    def log(self, listed: list[bytes]) -> np.ndarray:
+        """Natural logarithm of what each word adds after its first sign, the blank included."""
+        three, word = word_grams(listed)
+        return np.bincount(word, np.log(self.probabilities(three)), len(listed))
+
+    def log_borders(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Natural logarithm of the first signs of each text's words after the words before."""
+        three, text = border_grams(texts)
+        different, where = np.unique(three, return_inverse=True)
+        return np.bincount(text, np.log(self.probabilities(different))[where], len(texts))
 
 
 def fit(counts: DataFrame) -> dict[str, KneserNey]:
-    """A model per language from word counts; what comes to the driver is bounded by the signs."""
+    """A model per language from ``sign_counts``; its different n-grams come to the driver."""
     rows = (
         counts.mapInArrow(_gram_counts, "lang string, gram long, n long")
         .groupBy("lang", "gram")
@@ -226,13 +285,14 @@ def _score(models: dict[str, KneserNey], width: int, schema: pa.Schema, most: in
                 if len(own) > most:
                     own.clear()
                 listed = {i: (texts[i] or b"").split() for i in at}
+                borders = models[lang].log_borders(list(listed.values())) if any(listed.values()) else ()
                 new = list({w for ws in listed.values() for w in ws}.difference(own))
                 if new:
                     own.update(zip(new, models[lang].log(new).tolist()))
-                for i, ws in listed.items():
+                for k, (i, ws) in enumerate(listed.items()):
                     if ws:
-                        signs_ = base_chars(ws)
-                        perplexity[i] = -sum(map(own.__getitem__, ws)) / signs_
+                        inside = sum(map(own.__getitem__, ws))
+                        perplexity[i] = -float(inside + borders[k]) / sign_number(ws)
             rows = []
             for i, text in enumerate(texts):
                 base = base_features(text)
@@ -248,8 +308,8 @@ def _score(models: dict[str, KneserNey], width: int, schema: pa.Schema, most: in
     return run
 
 
-def base_chars(listed: list[bytes]) -> int:
-    """Signs that the words of a text ask the model for: their characters and their ends."""
+def sign_number(listed: list[bytes]) -> int:
+    """Signs that the words of a text ask the model for: their characters and a blank after each."""
     return len(b"".join(listed).decode("utf-8")) + len(listed)
 
 
@@ -300,7 +360,7 @@ def quality_rules(
     occur. Columns called like a result column are replaced.
     """
     docs = without(docs, *[r for r in RESULT if r not in (text_col, lang_col)])
-    models = fit(word_counts(docs, text_col, lang_col))
+    models = fit(sign_counts(docs, text_col, lang_col))
     rest = [c for c in docs.columns if with_text or c != text_col]
     lang = F.coalesce(
         F.when(F.col(f"`{lang_col}`") != "", F.col(f"`{lang_col}`")), F.lit("und")
