@@ -33,13 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays, once.
 
-    Documents without an id are kept.
+    Documents without an id are kept. Only texts whose id occurs again are shuffled to find the
+    one that stays.
     """
     found = jaccard_components(docs.select("doc_id", "text"))
     losers = found.filter("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(losers, "doc_id", "left_anti")
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return _columns(named.unionByName(left.filter("doc_id is null")), docs)
+    left = docs.join(cut_lineage(losers, "losers"), "doc_id", "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    repeated = cut_lineage(repeated.select("doc_id"), "repeated")
+    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _columns(left.join(repeated, "doc_id", "left_anti").unionByName(again), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
