@@ -23,6 +23,7 @@ _ONE_PASS = {
     "prod": F.product,
 }
 _ORDER = ("median", "mad")
+KEYS_PER_TASK = 1_000_000  # different (group, value) that a task counts before the shuffle
 
 
 def stat(name: str, column: str) -> Column:
@@ -97,7 +98,7 @@ def multi_stat_sets(
     ``key_set`` names the set a row belongs to; keys outside of it are null.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    base = df.groupingSets(sets, *keys).agg(
+    base = _spread_for_distinct(df, len(sets), keys, stats).groupingSets(sets, *keys).agg(
         F.grouping_id().alias("set_bits"), F.count(F.lit(1)).alias("__rows"), *_one_pass(stats)
     )
     base = base.filter(keys_present(keys)).drop("__rows")
@@ -114,6 +115,22 @@ def multi_stat_sets(
     return out.withColumn("key_set", name).drop("set_bits")
 
 
+def _spread_for_distinct(
+    df: DataFrame, n_sets: int, keys: list[str], stats: dict[str, list[str]]
+) -> DataFrame:
+    """The columns of the one-pass statistics, dealt to as many tasks as distinct counts need.
+
+    Ahead of the shuffle a task keeps every different value of every group and key set of its rows,
+    which a file of compressed rows makes many. Sums and extremes alone need no such care.
+    """
+    n_distinct = sum("nunique" in names for names in stats.values())
+    if not n_distinct:
+        return df
+    parts = -(-df.count() * n_sets * n_distinct // KEYS_PER_TASK)
+    rows = df.select(*dict.fromkeys([*keys, *stats]))
+    return rows.repartition(parts) if parts > 1 else rows
+
+
 def table_stats(
     df: DataFrame,
     numbers: list[str],
