@@ -105,9 +105,11 @@ def mix_sources(
             + spread,
         )
     )
-    chunks = sized.groupBy(source.alias("source"), "__chunk").agg(
+    # a struct equals another also where both hold a null
+    sized = sized.withColumn("__source", F.struct(source.alias("source")))
+    chunks = sized.groupBy("__source", "__chunk").agg(
         F.count("*").alias("rows"), F.sum("size").alias("words")
-    )
+    ).withColumn("source", F.col("__source.source"))
     totals = chunks.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(totals, weights, most)
     earlier = (
@@ -118,21 +120,13 @@ def mix_sources(
     placed = chunks.withColumn("__first", F.sum("rows").over(earlier) - F.col("rows")).alias("c")
     placed = placed.join(
         targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))
-    ).select(
-        F.col("c.source").alias("__source"),
-        F.col("c.__chunk").alias("__at"),
-        "__first",
-        "source_size",
-        "target",
-    )
-    inside = Window.partitionBy(source, "__chunk").orderBy(
+    ).select("c.__source", "c.__chunk", "__first", "source_size", "target")
+    # window and join go by the same columns, so the texts are shuffled once
+    inside = Window.partitionBy("__source", "__chunk").orderBy(
         "size", F.col(f"`{id_col}`"), "__tie"
     )
     ranked = sized.withColumn("__rank", F.row_number().over(inside) - 1)
-    joined = ranked.join(
-        placed,
-        source.eqNullSafe(F.col("__source")) & (F.col("__chunk") == F.col("__at")),
-    )
+    joined = ranked.join(placed, ["__source", "__chunk"])
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source.cast("string"), F.lit(""))).cast("binary"))
     offset = F.conv(F.substring(draw, 1, 6), 16, 10).cast("double") / float(1 << 24)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -141,7 +135,7 @@ def mix_sources(
     return (
         joined.withColumn("copies", F.least(crossed, F.ceil(share)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("__tie", "__chunk", "__rank", "__source", "__at", "__first")
+        .drop("__tie", "__chunk", "__rank", "__source", "__first")
     )
 
 
