@@ -24,7 +24,12 @@ from tallyframe.plans.series import (
     whole_series,
 )
 from tallyframe.session import shared_path
-from tallyframe.sources.image_files import crop_files, image_table, replace_images
+from tallyframe.sources.image_files import (
+    crop_files,
+    image_table,
+    replace_images,
+    write_text_archives,
+)
 from tallyframe.sources.images import crop_pixels, to_grey
 from tallyframe.sources.tables import staged, table
 
@@ -732,9 +737,15 @@ def image_files_to_crops(spark, sf):
     )
     start = F.when(F.col("vec_id") % 9 == 4, "??").otherwise("P2")
     text = F.concat(start, F.lit("\n8 8\n255\n"), F.array_join(level, " "))
-    files = table(spark, sf, "embeddings").select("vec_id", text.alias("value"))
+    number = F.coalesce(F.col("vec_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    lines = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("vec_id="), number, F.lit("/image.pgm")).alias("name"),
+        F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).alias("line"),
+    )
+    # rows of one number are lines of one file
+    value = F.array_join(F.sort_array(F.collect_list("line")), "")
     path = shared_path(spark, "image-files")
-    files.write.partitionBy("vec_id").text(path)
+    write_text_archives(lines.groupBy("name").agg(value.alias("value")), path)
     crops, unread = crop_files(spark, path, 150)
     number = F.regexp_extract("image_id", r"vec_id=(\d+)", 1).cast("bigint").alias("vec_id")
     shown = crops.select(

@@ -2,12 +2,16 @@
 
 Files come through Spark's binary source, so any store that Spark reads will do. Pixels are bytes in
 rows, blue before green before red. A file that cannot be decoded stays as a row with the reason.
+Many small files are better kept as members of tar archives: a store creates, lists and opens each
+file by itself.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
+import tarfile
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +26,88 @@ from tallyframe.operators.dbscan import dbscan
 from tallyframe.session import cut_lineage
 from tallyframe.sources.images import crop_pixels
 
+ARCHIVE = 4_000_000  # bytes of members after which an archive is closed
 SLOTS = 256  # folders of an image table; an image's slot follows from its id
 
 _DECODED = "image_id string, width int, height int, n_channels int, data binary, reason string"
 _HEAD = re.compile(rb"(P[2356])((?:\s|#[^\n]*\n)+)(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 PNG_MARK = b"\x89PNG\r\n\x1a\n"  # fixed value: how every PNG file starts
+TAR_MARK = b"ustar"  # fixed value: stands 257 bytes into every tar archive
 PNG_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # fixed values: samples of a pixel by PNG colour type
 
 
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each archive as one text, without its last byte, which is the line end of the writer."""
+    packed = None
+
+    def closed():
+        names, buffer, archive = packed
+        archive.close()
+        body = buffer.getvalue()[:-1].decode()
+        ident = f"{zlib.crc32(repr(names).encode()):08x}-{zlib.crc32(body.encode()):08x}"
+        return pa.RecordBatch.from_arrays([pa.array([ident]), pa.array([body])], names=["archive", "value"])
+
+    for batch in batches:
+        for name, value in zip(*(batch.column(k).to_pylist() for k in range(2))):
+            if packed is None:
+                buffer = io.BytesIO()
+                packed = [], buffer, tarfile.open(fileobj=buffer, mode="w", format=tarfile.GNU_FORMAT)
+            body = (value or "").encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            packed[2].addfile(info, io.BytesIO(body))
+            packed[0].append(name)
+            if packed[1].tell() >= ARCHIVE:
+                yield closed()
+                packed = None
+    if packed is not None:
+        yield closed()
+
+
+def write_text_archives(files: DataFrame, path: str) -> None:
+    """Text files (name, value) as members of tar archives of bounded size below a folder.
+
+    Names and texts are stored in UTF-8; null is an empty file. Every task fills archives of its own.
+    """
+    made = files.select(F.col("name").cast("string"), F.col("value").cast("string"))
+    made.mapInArrow(_archives, "archive string, value string").write.partitionBy("archive").option(
+        "lineSep", "\0"
+    ).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(name: str, content: bytes):
+        if content[257:262] != TAR_MARK:
+            yield name, content
+            return
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as archive:
+                for member in archive:
+                    if member.isfile():
+                        yield f"{name}/{member.name}", archive.extractfile(member).read()
+        except tarfile.TarError:
+            yield name, content
+
+    for batch in batches:
+        found, held = [], 0
+        for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rows(name, content or b""):
+                found.append(row)
+                held += len(row[1])
+                if held >= ARCHIVE or len(found) >= 10_000:
+                    yield _file_batch(found)
+                    found, held = [], 0
+        if found:
+            yield _file_batch(found)
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names, contents = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["image_id", "content"]
+    )
+
+
 def list_files(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
     """Paths and sizes of the files below a folder, or of the first by path; none is opened.
 
@@ -43,6 +121,8 @@ def list_files(spark: SparkSession, folder: str, first: int | None = None) -> Da
 def read_files(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
     """Files as (image_id, content); with ``first``, only so many are opened.
 
+    The members of a tar archive are files of their own, called by the archive's path and their
+    name in it; for ``first`` an archive is one file. An archive that is damaged stays as a file.
     The listing is cut before any content is read; the chosen paths, ``first`` at most, name the
     files of the second read.
     """
@@ -54,7 +134,8 @@ def read_files(spark: SparkSession, folder: str, first: int | None = None) -> Da
         if not chosen:
             return spark.createDataFrame([], "image_id string, content binary")
         files = reader.load(chosen)
-    return files.select(F.col("path").alias("image_id"), "content")
+    named = files.select(F.col("path").alias("image_id"), "content")
+    return named.mapInArrow(_members, "image_id string, content binary")
 
 
 def _portable_map(content: bytes) -> np.ndarray:
@@ -138,22 +219,35 @@ def decode(files: DataFrame) -> DataFrame:
     ``reason`` is null for a decoded image; else it says what is wrong and the rest is null.
     """
 
+    schema = pa.schema(
+        [
+            ("image_id", pa.string()),
+            ("width", pa.int32()),
+            ("height", pa.int32()),
+            ("n_channels", pa.int32()),
+            ("data", pa.binary()),
+            ("reason", pa.string()),
+        ]
+    )
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for name, content in zip(*(batch.column(c).to_pylist() for c in ("image_id", "content"))):
                 pixels, reason = decode_bytes(content)
                 height, width, channels = pixels.shape if reason is None else (None,) * 3
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name], pa.string()),
-                        pa.array([width], pa.int32()),
-                        pa.array([height], pa.int32()),
-                        pa.array([channels], pa.int32()),
-                        pa.array([None if pixels is None else pixels.tobytes()], pa.binary()),
-                        pa.array([reason], pa.string()),
-                    ],
-                    names=["image_id", "width", "height", "n_channels", "data", "reason"],
-                )
+                data = None if pixels is None else pixels.tobytes()
+                rows.append((name, width, height, channels, data, reason))
+                held += len(data or b"")
+                if held >= ARCHIVE:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return files.select("image_id", "content").mapInArrow(run, _DECODED)
 
@@ -161,20 +255,33 @@ def decode(files: DataFrame) -> DataFrame:
 def marked_pixels(images: DataFrame, level: int) -> DataFrame:
     """Pixels whose first channel is at least ``level``, as (image_id, key, x, y); key is y·width + x."""
 
+    def made(names: list, keys: list, xs: list, ys: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.array(names, object), [len(k) for k in keys]), pa.string()),
+                pa.array(np.concatenate(keys)),
+                pa.array(np.concatenate(xs).astype(np.float64)),
+                pa.array(np.concatenate(ys).astype(np.float64)),
+            ],
+            names=["image_id", "key", "x", "y"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, keys, xs, ys, held = [], [], [], [], 0
             for r in batch.to_pylist():
                 pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], -1)
                 y, x = np.nonzero(pixels[:, :, 0] >= level)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["image_id"]] * len(x), pa.string()),
-                        pa.array(y.astype(np.int64) * r["width"] + x),
-                        pa.array(x.astype(np.float64)),
-                        pa.array(y.astype(np.float64)),
-                    ],
-                    names=["image_id", "key", "x", "y"],
-                )
+                names.append(r["image_id"])
+                keys.append(y.astype(np.int64) * r["width"] + x)
+                xs.append(x)
+                ys.append(y)
+                held += len(x)
+                if held >= 1 << 17:
+                    yield made(names, keys, xs, ys)
+                    names, keys, xs, ys, held = [], [], [], [], 0
+            if names:
+                yield made(names, keys, xs, ys)
 
     fine = images.filter(F.col("data").isNotNull()).select("image_id", "width", "height", "data")
     return fine.mapInArrow(run, "image_id string, key long, x double, y double")

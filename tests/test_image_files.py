@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tallyframe.sources import image_files
 from tallyframe.sources.image_files import (
     crop_files,
     decode_bytes,
@@ -13,6 +14,7 @@ from tallyframe.sources.image_files import (
     list_files,
     read_files,
     replace_images,
+    write_text_archives,
 )
 
 
@@ -116,3 +118,39 @@ def test_a_run_replaces_its_own_images(spark, tmp_path):
     everything = rows(*[(str(k), 0) for k in range(60)])
     replace_images(rows(), path, everything, slots=4)
     assert held() == []
+
+
+def test_archives_hold_image_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(image_files, "ARCHIVE", 60_000)
+    files = {f"id={k}/image.pgm": f"P2\n2 1\n255\n{k % 256} 200\n" for k in range(300)}
+    files |= {"é" * 90: "x" * 512, "empty": "", "none": None, "late/" + "n" * 120: "P2 1 1 9 1"}
+    rows = spark.createDataFrame(list(files.items()), "name string, value string").repartition(3)
+    write_text_archives(rows, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").rglob("*.txt"))) < 20
+    found = read_files(spark, str(tmp_path / "packed")).collect()
+    names = {r.image_id.split("archive=")[1].split("/", 2)[2]: bytes(r.content) for r in found}
+    assert len(found) == len(files)
+    assert names == {k: (v or "").encode() for k, v in files.items()}
+    crops, unread = crop_files(spark, str(tmp_path / "packed"), 150)
+    assert crops.count() == 300  # the pixel of 200, with its neighbour where that is bright
+    assert {r.image_id.rsplit("/", 1)[-1]: r.reason.split(":")[0] for r in unread.collect()} == {
+        "é" * 90: "unknown format", "empty": "empty file", "none": "empty file"
+    }
+
+
+def test_damaged_archive(spark, tmp_path):
+    (tmp_path / "a.tar").write_bytes(b"x" * 257 + b"ustar" + b"y" * 600)
+    assert [r.reason for r in crop_files(spark, str(tmp_path), 150)[1].collect()] == ["unknown format"]
+
+
+def test_query_writes_few_files(spark, tmp_path, monkeypatch):
+    from tallyframe.plans import all_queries, clusters
+
+    signs = [[(k * j % 7) / 20 for j in range(64)] for k in range(200)]
+    rows = [*enumerate(signs), (5, signs[5]), (200, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(clusters, "shared_path", lambda spark, name: str(tmp_path / name))
+    found = all_queries()["image_files_to_crops"](spark, str(tmp_path)).collect()
+    assert len(list((tmp_path / "image-files").rglob("*.txt"))) < 20
+    assert {r.vec_id for r in found if r.reason == "unknown format"} == {*range(4, 200, 9), 200}
+    assert {r.vec_id for r in found if (r.reason or "").startswith("damaged")} == {5}
