@@ -3,8 +3,11 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallyframe.operators import density
 from tallyframe.operators.density import dbscan_space, within
 from tallyframe.operators.space_tree import grow, leaf_boxes, visits
 
@@ -95,3 +98,65 @@ def test_pairs_next_to_the_radius():
     a = np.array([[1e6, 0.1], [0.3, 0.0]])
     b = np.array([[1e6 + 0.5, 0.1], [0.1 + 0.2, 0.5]])
     assert within(a, b, 0.5).tolist() == [[True, False], [False, math.dist(a[1], b[1]) <= 0.5]]
+
+
+@pytest.mark.parametrize("strips,most", [(12, 1 << 20), (3, 1), (5, 0), (2, 0)])
+def test_strips_and_visits_give_the_same(spark, monkeypatch, strips, most):
+    monkeypatch.setattr(density, "STRIPS", strips)
+    monkeypatch.setattr(density, "MOST_VISITS", most)
+    points = cloud(300, 5, 8) + [(k + 1000, g, c) for k, g, c in cloud(40, 5, 8)]
+    points += [(5000, "a", [1.0, None, 2.0, 0.0, 0.0]), (5001, None, [0.0] * 5)]
+    assert run(spark, points, 2.2, 6, "g", leaf=20) == plain(points, 2.2, 6)
+
+
+def test_wide_reach_ships_a_point_once_a_strip(spark, monkeypatch):
+    """In many dimensions a point is near all leaves; it is not sent to each of them."""
+    points = [(k, "", [random.Random(k * 64 + d).gauss(0, 1) for d in range(16)]) for k in range(400)]
+    sent = []
+
+    def counted(one):
+        def seen(*args):
+            made = one(*args)
+            sent.append(made.count())
+            return made
+
+        return seen
+
+    monkeypatch.setattr(density, "STRIPS", 4)
+    monkeypatch.setattr(density, "_strips", counted(density._strips))
+    monkeypatch.setattr(density, "_meet", None)  # leaves and their visitors don't meet
+    assert run(spark, points, 3.5, 5, leaf=10) == plain(points, 3.5, 5)
+    assert sent == [1600, 1600]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_pairs_of_strips_by_tiles(monkeypatch, same):
+    monkeypatch.setattr(density, "TILE", 7)
+    draw = np.random.default_rng(4)
+    at = np.concatenate([draw.normal(0, 1, (40, 2)), draw.normal(6, 1, (40, 2))])
+    strip = np.zeros(80, int) if same else np.arange(80) % 2
+    core = draw.random(80) < 0.7
+    ids = [f"p{k:02}" for k in range(80)]
+    table = pa.table(
+        {
+            "id": ids, "node": [f"n{k % 5}" for k in range(80)], "c": at.tolist(), "w": np.arange(1, 81),
+            "strip": strip, "is_core": core, "i": [0] * 80, "j": [0 if same else 1] * 80,
+        }
+    )
+    near = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2)) <= 0.8
+    if not same:
+        near &= strip[:, None] != strip[None]
+    counts = density._count_strips(0.8)(table).to_pydict()
+    wanted = {k: n for k, n in zip(ids, (near @ np.arange(1, 81)).tolist()) if n}
+    assert dict(zip(counts["id"], counts["near"])) == wanted
+    links = density._link_strips(0.8)(table).to_pylist()
+    edges = {(r["a"], r["b"]) for r in links if not r["core"]}
+    assert edges == {(ids[k], ids[m]) for k, m in zip(*np.nonzero(near)) if core[m] and not core[k]}
+    joined = np.eye(80, dtype=bool)
+    for r in links:
+        if r["core"]:
+            joined[ids.index(r["a"]), ids.index(r["b"])] = joined[ids.index(r["b"]), ids.index(r["a"])] = True
+    both = np.eye(80, dtype=bool) | (near & core[:, None] & core[None])
+    assert (np.linalg.matrix_power(joined.astype(float), 80) > 0).tolist() == (
+        np.linalg.matrix_power(both.astype(float), 80) > 0
+    ).tolist()
